@@ -92,9 +92,9 @@ def est_members_year(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN l_tax * 12.5 >= 0.5 THEN l_quantity ELSE 0 END AS eff FROM lineitem)
-SELECT l_orderkey, count(*) AS n_units, round(sum(eff * l_discount * 100) / nullif(sum(eff), 0), 6) AS score, round(sqrt(sum(l_quantity)) * sum(eff) / sum(l_quantity), 6) AS weight, min_by(l_suppkey, l_linenumber * 1000000000 + l_suppkey) AS l_suppkey FROM e GROUP BY l_orderkey""")
+SELECT l_orderkey, count(*) AS n_units, round(sum(eff * l_discount * 100) / nullif(sum(eff), 0), 6) AS score, round(sqrt(sum(l_quantity)) * sum(eff) / sum(l_quantity), 6) AS weight, min_by(l_suppkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_suppkey) AS l_suppkey FROM e GROUP BY l_orderkey""")
 def speech_rollup(spark, sf_dir):
-    u = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000000 + F.col("l_suppkey")).alias("at"), "l_suppkey", F.col("l_quantity").alias("words"), (F.col("l_discount") * 100).alias("score"), (F.col("l_tax") * 12.5 >= 0.5).cast("double").alias("multiplier"))
+    u = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_suppkey")).alias("at"), "l_suppkey", F.col("l_quantity").alias("words"), (F.col("l_discount") * 100).alias("score"), (F.col("l_tax") * 12.5 >= 0.5).cast("double").alias("multiplier"))
     return rounded(estimate.roll_up(u, ["l_orderkey"], "at", "position"))
 
 
