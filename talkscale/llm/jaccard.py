@@ -30,6 +30,8 @@ from talkscale.llm.common import add_columns, discard, materialise
 #: Up to so many classes (16 bytes each and their ids) are broadcast to pick whole sets; beyond it they are joined by key.
 BROADCAST_CLASSES = 200_000
 PIVOT_ROUNDS = 4
+#: Words of 64 parity bits in a set's sketch; two sets differ in at least as many shingles as their sketches in bits.
+SKETCH = 8
 
 
 def _needed(n, percent: int):
@@ -58,7 +60,7 @@ def _first_part(size: int, percent: int):
     cut = _cut(percent)
 
     def kernel(t):
-        parts, prints, counts, below = [], [], [], []
+        parts, prints, counts, below, sketches = [], [], [], [], []
         for s, mark in _sets(t, size):
             n = len(s)
             low = int(np.searchsorted(s, cut))
@@ -66,7 +68,9 @@ def _first_part(size: int, percent: int):
             prints.append(mark)
             counts.append(n)
             below.append(low)
-        return [counts, below, pa.array(prints, pa.binary()), _lists(parts)]
+            parity = np.bincount((s >> 8) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+            sketches.append(np.packbits(parity.astype(np.uint8)).view("<i8"))
+        return [counts, below, pa.array(prints, pa.binary()), _lists(parts), *np.array(sketches).reshape(-1, SKETCH).T]
 
     return kernel
 
@@ -83,21 +87,34 @@ def _may_link(n1: Column, n2: Column, percent: int) -> Column:
     return percent * F.greatest(n1, n2) <= 100 * F.least(n1, n2)
 
 
+def _may_differ(n1: Column, n2: Column, sketch1, sketch2, percent: int) -> Column:
+    """Whether the sketches allow as few differences as a link does."""
+    bits = sum((F.bit_count(sketch1(f"b{i}").bitwiseXOR(sketch2(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    overlap = F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
+    return bits <= n1 + n2 - 2 * overlap
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component of edges (a, b); label propagation with pointer jumping."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    """(node, root): the smallest node of each component of edges (a, b). Each round hooks a node to its smallest neighbour and contracts the edges, so that those inside what is joined already go at once."""
+    left = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    roots = None
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("heard"))
-        new = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("root", "heard").alias("root"), F.col("root").alias("old"))
-        jump = new.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        new = materialise(new.join(jump, new["root"] == jump["at"], "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old"), "labels")
-        changed = new.where("root <> old").limit(1).count()
-        discard(labels)
-        labels = new
-        if not changed:
-            discard(both)
-            return labels.select("node", "root")
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("up"))
+        up = hooks.select(F.col("node").alias("at"), F.col("up").alias("next"))
+        hooks = materialise(hooks.join(up, hooks["up"] == up["at"], "left").select("node", F.coalesce("next", "up").alias("up")), "hooks")
+        one, two = hooks.select(F.col("node").alias("a"), F.col("up").alias("ua")), hooks.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        rest = left.join(one, "a").join(two, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
+        rest = materialise(rest, "edges")
+        if roots is None:
+            roots = hooks.select("node", F.col("up").alias("root"))
+        else:
+            step = hooks.select(F.col("node").alias("at"), "up")
+            roots = materialise(roots.join(step, roots["root"] == step["at"], "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
+        discard(left)
+        left = rest
+        if not left.head(1):
+            return roots
 
 
 class _Join:
@@ -105,9 +122,12 @@ class _Join:
 
     def __init__(self, docs: DataFrame, size: int, percent: int) -> None:
         self.docs, self.size, self.percent = docs, size, percent
-        self.sets = materialise(add_columns(docs, ["doc_id"], "text", "n bigint, below bigint, mark binary, part array<bigint>", _first_part(size, percent)), "sets")
-        classes = self.sets.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("below").alias("below"), F.first("part").alias("part"))
+        bits = [f"b{i}" for i in range(SKETCH)]
+        sets = materialise(add_columns(docs, ["doc_id"], "text", "n bigint, below bigint, mark binary, part array<bigint>, " + ", ".join(f"{b} bigint" for b in bits), _first_part(size, percent)), "sets")
+        classes = sets.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", "below", "part", *bits)])
         self.classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+        self.sets = materialise(sets.select("doc_id", "n", "mark"), "sizes")
+        discard(sets)
 
     def prefixes(self) -> DataFrame:
         """(class, n, alone, prefix): the shared shingles of each prefix in order, and how many unshared come first; classes without any are left out."""
@@ -144,7 +164,9 @@ class _Join:
         prefixes = materialise(self.prefixes(), "prefixes")
         groups = prefixes.groupBy("n", "prefix").agg(F.min("class").alias("group"), F.min("alone").alias("alone"))
         groups = materialise(groups, "groups")
-        members = materialise(prefixes.join(groups.select("n", "prefix", "group"), ["n", "prefix"]).select("class", "group", "n"), "members")
+        bits = [f"b{i}" for i in range(SKETCH)]
+        members = prefixes.join(groups.select("n", "prefix", "group"), ["n", "prefix"]).select("class", "group", "n")
+        members = materialise(members.join(self.classes.select("class", *bits), "class"), "members")
         postings = groups.select("group", "n", F.posexplode("prefix").alias("at", "token"), "alone").select("token", "group", "n", (F.col("at") + F.col("alone")).alias("at"))
         postings = materialise(postings, "postings")
         whole = self.whole_sets(members)
@@ -154,10 +176,10 @@ class _Join:
         last = math.inf
         for turn in range(1, PIVOT_ROUNDS + 2):
             roots = connected(edges) if edges.head(1) else None
-            items = members.withColumn("root", F.col("class")) if roots is None else members.join(roots, members["class"] == roots["node"], "left").select("class", "group", "n", F.coalesce("root", "class").alias("root"))
+            items = members.withColumn("root", F.col("class")) if roots is None else members.join(roots, members["class"] == roots["node"], "left").select("class", "group", "n", F.coalesce("root", "class").alias("root"), *bits)
             items = materialise(items, "items")
             # an item of a posting: the members of a group that lie in one component
-            listed = postings.select("token", "group", "at").join(items.groupBy("group", "n", "root").agg(F.min("class").alias("class")), "group")
+            listed = postings.select("token", "group", "at").join(items.groupBy("group", "n", "root").agg(F.min("class").alias("class"), F.count("*").alias("size"), *[F.min(b).alias(b) for b in bits]), "group")
             listed = materialise(listed, "listed")
             per_root = listed.groupBy("token", "root").agg(F.count("*").alias("m"))
             per_token = per_root.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
@@ -166,7 +188,7 @@ class _Join:
             if not left:
                 break
             listed = listed.join(open_tokens.select("token"), "token", "left_semi")
-            if turn <= PIVOT_ROUNDS and left > 20 * items.count() + 100_000 and left < 0.7 * last:
+            if turn <= PIVOT_ROUNDS and left > 2 * items.count() + 10_000 and left < 0.7 * last:
                 last = left
                 more = self.verify(self._pivots(listed, turn).distinct(), whole)
             else:
@@ -174,16 +196,23 @@ class _Join:
                 turn = PIVOT_ROUNDS + 1
             more = materialise(more, "links")
             if more.head(1):
-                edges = materialise(edges.unionByName(more), "links")
+                # of the components so far only their roots matter: each node with its root, and the pairs of roots that a link joins
+                ends = items.select("class", "root").distinct()
+                joined = more.join(ends.select(F.col("class").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("class").alias("b"), F.col("root").alias("rb")), "b")
+                stars = items.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b"))
+                edges = materialise(stars.unionByName(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()), "links")
             if turn > PIVOT_ROUNDS:
                 break
-        self.links = edges
         return connected(edges) if edges.head(1) else None
 
     def _pivots(self, items: DataFrame, seed: int) -> DataFrame:
         """(a, b): each item of a posting with the pivot of the posting among items of about its size, if that lies in another component."""
-        band = F.floor(F.log(F.col("n").cast("double")) / 0.2)
+        band = F.floor(F.log(F.col("n").cast("double")) / 0.2 + 0.5 * seed)  # the bounds between bands move from round to round
         keyed = items.withColumn("band", band)
+        if seed:
+            # near copies mostly agree in any eight bits of their sketches, others seldom: a pivot for each value of some bits
+            bits = F.expr(f"shiftrightunsigned(b{seed % SKETCH}, CAST(token % 7 * 8 AS INT))").bitwiseAND(255)
+            keyed = keyed.withColumn("band", F.struct("band", bits.alias("bits")))
         turn = F.xxhash64(F.lit(seed), F.col("class"))
         pivot = keyed.groupBy("token", "band").agg(F.min(F.struct(turn.alias("turn"), F.col("class").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))).alias("pivot"))
         joined = keyed.join(pivot, ["token", "band"]).where((F.col("root") != F.col("pivot.proot")) & _may_link(F.col("n"), F.col("pivot.pn"), self.percent))
@@ -196,11 +225,15 @@ class _Join:
         overlap = F.ceil((x("n") + y("n")) * self.percent / (100 + self.percent) - 1e-9)
         after = F.least(x("n") - x("at"), y("n") - y("at"))
         order = (x("group") < y("group")) | ((x("group") == y("group")) & (x("root") < y("root")))
-        near = one.join(two, (x("token") == y("token")) & order & (x("root") != y("root")) & _may_link(x("n"), y("n"), self.percent) & (after >= overlap))
+        like = (x("size") > 1) | (y("size") > 1) | _may_differ(x("n"), y("n"), x, y, self.percent)
+        near = one.join(two, (x("token") == y("token")) & order & (x("root") != y("root")) & _may_link(x("n"), y("n"), self.percent) & (after >= overlap) & like)
         near = near.select(x("group").alias("g"), x("root").alias("r"), y("group").alias("h"), y("root").alias("s")).distinct()
-        left = items.select(F.col("group").alias("g"), F.col("root").alias("r"), F.col("class").alias("a"))
-        right = items.select(F.col("group").alias("h"), F.col("root").alias("s"), F.col("class").alias("b"))
-        pairs = near.join(left, ["g", "r"]).join(right, ["h", "s"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        bits = [f"b{i}" for i in range(SKETCH)]
+        side = lambda g, r, c, p: items.select(F.col("group").alias(g), F.col("root").alias(r), F.col("class").alias(c), F.col("n").alias(f"{p}n"), *[F.col(b).alias(f"{p}{b}") for b in bits])
+        left, right = side("g", "r", "a", "l"), side("h", "s", "b", "r_")
+        first = near.join(left, ["g", "r"])
+        like = _may_differ(F.col("ln"), F.col("r_n"), lambda c: F.col(f"l{c}"), lambda c: F.col(f"r_{c}"), self.percent)
+        pairs = first.join(right, (first["h"] == right["h"]) & (first["s"] == right["s"]) & like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return pairs.distinct()
 
 
