@@ -213,7 +213,8 @@ class _Join:
             # near copies mostly agree in any eight bits of their sketches, others seldom: a pivot for each value of some bits
             bits = F.expr(f"shiftrightunsigned(b{seed % SKETCH}, CAST(token % 7 * 8 AS INT))").bitwiseAND(255)
             keyed = keyed.withColumn("band", F.struct("band", bits.alias("bits")))
-        turn = F.xxhash64(F.lit(seed), F.col("class"))
+        # some copies have too many edits to be good pivots, so later rounds take up to eight for the same family, dealt by token
+        turn = F.xxhash64(F.lit(seed), F.col("class"), F.col("token") % (8 if seed else 1))
         pivot = keyed.groupBy("token", "band").agg(F.min(F.struct(turn.alias("turn"), F.col("class").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))).alias("pivot"))
         joined = keyed.join(pivot, ["token", "band"]).where((F.col("root") != F.col("pivot.proot")) & _may_link(F.col("n"), F.col("pivot.pn"), self.percent))
         return joined.select(F.least("class", "pivot.p").alias("a"), F.greatest("class", "pivot.p").alias("b"))
