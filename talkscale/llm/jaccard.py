@@ -40,7 +40,7 @@ def _needed(n, percent: int):
 
 
 def _cut(percent: int) -> int:
-    return int(min(1.0, 2 * (100 - percent) / 100) * 2**63)
+    return min(int(2 * (100 - percent) / 100 * 2**63), 2**63 - 1)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
