@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkscale.functions import text as tx
-from talkscale.operators import lookups, planning, sampling, sequences, summaries
+from talkscale.operators import cutting, lookups, planning, sampling, sequences, summaries
 from talkscale.plans import estimate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,3 +495,74 @@ def bootstrap_se(spark, sf_dir):
 
 
 QUERIES["bootstrap_se"] = bootstrap_se
+
+
+@query("SELECT conv_id, turn, len(parts) AS n_sentences, parts[1] AS first_sentence FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\\n+'), lambda s: regexp_replace(trim(s), '\\.+$', '')), lambda s: s <> '') AS parts FROM conversations)")
+def sentence_split(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.sentences(F.col("text")).alias("parts"))
+    return c.select("conv_id", "turn", F.size("parts").cast("bigint").alias("n_sentences"), F.try_element_at("parts", F.lit(1)).alias("first_sentence"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
+def dedupe_adjacent(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT l_suppkey, max(struct_pack(d := l_shipdate, o := l_orderkey, n := l_linenumber)).o AS l_orderkey FROM lineitem GROUP BY 1")
+def one_per_member_last(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber")
+    return line.groupBy("l_suppkey").agg(F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber"))["l_orderkey"].alias("l_orderkey"))
+
+
+@query("WITH p AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year, o_orderpriority FROM orders), y AS (SELECT DISTINCT year FROM p), k AS (SELECT DISTINCT o_orderpriority FROM p), n AS (SELECT CAST(year(o_orderdate) AS INT) AS year, o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY ALL), t AS (SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS total FROM orders GROUP BY ALL) SELECT y.year, k.o_orderpriority, coalesce(n.n, 0) AS n, round(coalesce(n.n, 0) / total, 6) AS share FROM y CROSS JOIN k LEFT JOIN n ON n.year = y.year AND n.o_orderpriority = k.o_orderpriority JOIN t ON t.year = y.year")
+def period_share_zero_fill(spark, sf_dir):
+    """Shares of large orders; every year has a row for every priority, 0 where there is none. One pass: a pivot to columns is unpivoted again."""
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority", F.when(F.col("o_totalprice") > 400000, 1).alias("large"))
+    per = o.groupBy("year", "o_orderpriority").agg(F.count("large").alias("n"), F.count("*").alias("all"))
+    kinds = per.agg(F.collect_set("o_orderpriority").alias("kinds"))  # one row; priorities are fixed in number
+    years = per.groupBy("year").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "n"))).alias("had"), F.sum("all").alias("total"))
+    full = years.join(F.broadcast(kinds)).select("year", "total", "had", F.explode("kinds").alias("o_orderpriority"))
+    return rounded(full.select("year", "o_orderpriority", F.coalesce(F.try_element_at("had", F.col("o_orderpriority")), F.lit(0)).alias("n"), "total").select("year", "o_orderpriority", "n", (F.col("n") / F.col("total")).alias("share")))
+
+
+@query(f"WITH {SPEECH}, m AS (SELECT r_name, n_name, l_suppkey, sum(w) AS w, sum(w*y) AS wy FROM s GROUP BY ALL), t AS (SELECT *, wy / w AS own, (sum(wy) OVER (PARTITION BY r_name) - wy) / nullif(sum(w) OVER (PARTITION BY r_name) - w, 0) AS others FROM m) SELECT r_name, count(*) AS n, round(corr(own, others), 5) AS r FROM t WHERE others IS NOT NULL GROUP BY r_name HAVING count(*) >= 3")
+def loo_bloc_corr(spark, sf_dir):
+    """Correlation of each member's mean with that of the rest of the bloc. Sums by bloc are joined back, so no window holds a bloc."""
+    m = speeches(spark, sf_dir).groupBy("r_name", "n_name", "l_suppkey").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("score")).alias("wy"))
+    bloc = m.groupBy("r_name").agg(F.sum("w").alias("bw"), F.sum("wy").alias("bwy"))
+    t = m.join(F.broadcast(bloc), "r_name").select("r_name", (F.col("wy") / F.col("w")).alias("own"), ((F.col("bwy") - F.col("wy")) / F.nullif(F.col("bw") - F.col("w"), F.lit(0.0))).alias("others"))  # one row for each region
+    return rounded(t.where("others IS NOT NULL").groupBy("r_name").agg(F.count("*").alias("n"), F.corr("own", "others").alias("r")).where("n >= 3"), 5)
+
+
+@query("SELECT event_id, round(p0, 6) AS low, round(p1, 6) AS high, round(p0 * 0 + p1 * 4, 6) AS expected FROM (SELECT event_id, CAST(json_extract_string(j, '$.0') AS DOUBLE) AS p0, CAST(json_extract_string(j, '$.4') AS DOUBLE) AS p1 FROM (SELECT event_id, '{\"0\": ' || CAST((event_id % 11) / 10.0 AS VARCHAR) || ', \"4\": ' || CAST(1 - (event_id % 11) / 10.0 AS VARCHAR) || '}' AS j FROM events))")
+def split_probabilities(spark, sf_dir):
+    """Level probabilities out of a JSON map: two of them and the expected level."""
+    p = (F.col("event_id") % 11) / 10.0
+    j = F.concat(F.lit('{"0": '), p.cast("string"), F.lit(', "4": '), (1 - p).cast("string"), F.lit("}"))
+    e = table(spark, sf_dir, "events").select("event_id", F.from_json(j, "map<string,double>").alias("levels"))
+    expected = F.aggregate(F.map_entries("levels"), F.lit(0.0), lambda acc, x: acc + x["key"].cast("double") * x["value"])
+    return rounded(e.select("event_id", F.col("levels")["0"].alias("low"), F.col("levels")["4"].alias("high"), expected.alias("expected")))
+
+
+@query("SELECT l_returnflag, CAST(year(l_shipdate) AS INT) AS year, count(*) AS size, least(count(*), 50) AS taken, round(count(*) / least(count(*), 50), 6) AS sample_weight FROM lineitem GROUP BY ALL")
+def fractional_sample_weights(spark, sf_dir):
+    """What each row of a sample of at most 50 a stratum stands for."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.year("l_shipdate").alias("year")).agg(F.count("*").alias("size")).withColumn("taken", F.least("size", F.lit(50)).cast("bigint"))
+    return rounded(n.withColumn("sample_weight", F.col("size") / F.col("taken")))
+
+
+def chunk_text(spark, sf_dir):
+    """Documents over 2,000 characters cut into like ranges of sentences; tested against plain Python."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.sentences(F.coalesce("text", F.lit(""))), lambda s: F.length(s)).alias("lengths"))
+    return d.select("doc_id", F.size("lengths").alias("n_sentences"), cutting.chunk_ends(F.col("lengths"), 2000).alias("ends"))
+
+
+def pack_deal(spark, sf_dir):
+    """Orders' lines dealt to packs of at most 200 units of quantity, by supplier and year; tested against plain Python."""
+    u = table(spark, sf_dir, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int")).alias("unit_id"), "l_quantity")
+    return cutting.deal_packs(u, ["l_suppkey", "year"], "unit_id", "l_quantity", 200, 2, 20260921)
+
+
+QUERIES |= {"chunk_text": chunk_text, "pack_deal": pack_deal}
