@@ -111,7 +111,7 @@ def test_cuts_at_the_edges():
 def test_deal():
     assert cutting.deal([], 10, 2) == []
     assert cutting.deal([50], 10, 2) == [0]
-    assert cutting.deal([4, 4, 4, 4], 10, 2) == [0, 1, 0, 1]
+    assert cutting.deal([4, 4, 4, 4], 10, 2) == [0, 1, 2, 0]  # 16 characters and three separators need three packs
     assert cutting.deal([50, 60], 10, 2) == [0, 1]
 
 
