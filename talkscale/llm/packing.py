@@ -10,9 +10,12 @@ Null and empty texts are one end token. Documents with the same id are packed ea
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections import Counter
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -22,28 +25,70 @@ from pyspark.sql import functions as F
 from talkscale.llm.common import materialise, running_sums
 
 CAPACITY = 2048
-#: Distinct words whose ids a Python worker keeps; it starts anew beyond that.
+#: Distinct words whose ids a Python worker keeps; beyond that it keeps those of the texts at hand.
 CACHE_WORDS = 500_000
 
 
+#: ASCII signs that may end a word; the apostrophe isn't one, since the tokenizer knows contractions.
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+#: Lower-case words of letters of ASCII and Latin-1 alone.
+LETTERS = re.compile(rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
+
+
+def ends_in_letter(stem: bytes) -> bool:
+    """Whether the last character is a letter of ASCII or Latin-1; those stay one letter in lower case."""
+    last = stem[-1]
+    return 97 <= last <= 122 or 65 <= last <= 90 or (last > 127 and stem[-2] == 0xC3 and stem[-2:].decode().isalpha())
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins what ASCII white space parts: distinct words are encoded once."""
+    """Ids of texts by a tokenizer that lower-cases and never joins what ASCII white space parts, nor a letter and the signs after it: distinct words are encoded once, and without their last signs."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has its own core; threads only add memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        #: By id, whether a token ends its word; None if the tokenizer doesn't mark that.
+        self.closes: np.ndarray | None = None
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if self.closes is not None and LETTERS(w)]
+        for at in range(0, len(plain), 1024):
+            # each of these words is one run of letters, so its last token is the first that ends a word
+            some = plain[at : at + 1024]
+            ids = np.asarray(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        rest = [w for w in words if w not in self.known]
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            ids = got.ids
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.known))
+        # names of special tokens are written <|...|> and keep their case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list(set(chain.from_iterable(split)))
-        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.asarray(got.ids, "<u4").tobytes()
+            self.known = {w: self.known[w] for w in set(chain.from_iterable(split)).difference(new)}
+        whole, parted = [], []
+        for word in new:
+            stem = word.rstrip(SIGNS)
+            if stem and len(stem) < len(word) and b"<|" not in word and ends_in_letter(stem):
+                parted.append((word, stem, word[len(stem) :]))
+            else:
+                whole.append(word)
+        self.learn(whole)
+        self.learn(list({part for _, *parts in parted for part in parts}.difference(self.known)))
+        for word, stem, signs in parted:
+            self.known[word] = self.known[stem] + self.known[signs]
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
