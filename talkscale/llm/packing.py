@@ -26,7 +26,7 @@ from talkscale.llm.common import materialise, running_sums
 
 CAPACITY = 2048
 #: Distinct words whose ids a Python worker keeps; beyond that it keeps those of the texts at hand.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 
 #: ASCII signs that may end a word; the apostrophe isn't one, since the tokenizer knows contractions.
@@ -71,13 +71,18 @@ class WordEncoder:
             ids = got.ids
             self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow string array's texts, one after the other, and where each text's begin (one bound more than texts)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         # names of special tokens are written <|...|> and keep their case
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = set(filterfalse(self.known.__contains__, words))
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in set(chain.from_iterable(split)).difference(new)}
+            self.known = {w: self.known[w] for w in words if w not in new}
         whole, parted = [], []
         for word in new:
             stem = word.rstrip(SIGNS)
@@ -89,7 +94,20 @@ class WordEncoder:
         self.learn(list({part for _, *parts in parted for part in parts}.difference(self.known)))
         for word, stem, signs in parted:
             self.known[word] = self.known[stem] + self.known[signs]
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        own = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        data, code = np.frombuffer(b"".join(own), "<u4"), coded.indices.to_numpy()
+        count = size[code]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = data[np.repeat((np.cumsum(size) - size)[code] - ends[:-1], count) + np.arange(ends[-1])]
+        return ids, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
+def row_ranges(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about `limit` bytes together, each of one row at least."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // limit)) + 1
+    bounds = [0, *cuts.tolist(), len(sizes)]
+    return [(x, y) for x, y in zip(bounds[:-1], bounds[1:], strict=True) if x < y]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -104,21 +122,22 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     stop = np.asarray([end], "<u4").tobytes()
 
     def run(batches):
-        from talkscale.llm import kernels
+        import pyarrow.compute as pc
 
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, WordEncoder(tokenizer))
         for batch in batches:
-            ids, column = batch.columns
-            for t in kernels.slices(column, 1 << 19):
-                whole = t.data.tobytes()
-                rows: list[tuple[int, int, int, int, int]] = []
-                for i, got in enumerate(encoder.encode([whole[a:b] for a, b in zip(t.starts[:-1].tolist(), t.starts[1:].tolist(), strict=True)])):
-                    got += stop
-                    for k, at in enumerate(range(0, len(got), 4 * capacity)):
-                        piece = got[at : at + 4 * capacity]
-                        rows.append((t.low + i, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-                at, piece, start, length, crc = (list(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
+            doc_ids, column = batch.columns
+            for low, high in row_ranges(pc.binary_length(column).to_numpy(zero_copy_only=False), 1 << 22):
+                ids, bounds = encoder.encode(column.slice(low, high - low))
+                bounds, rows = bounds.tolist(), []
+                for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    for k, at in enumerate(range(a, b + 1, capacity)):
+                        piece = ids[at : min(at + capacity, b)].tobytes()
+                        if at + capacity > b:
+                            piece += stop
+                        rows.append((low + i, k, at - a, len(piece) // 4, zlib.crc32(piece)))
+                row, piece, start, length, crc = (list(x) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
