@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from talkscale.plans import queries as plans
+from talkscale.plans import reports  # noqa: F401  registers its queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
