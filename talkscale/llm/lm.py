@@ -3,9 +3,10 @@
 The model reads a document word by word (a GRU) and gives the next word's probability as class times word in class. The
 WORDS commonest words are dealt to classes by frequency, with a softmax over classes and one inside each class; all other
 words are one more class, inside which they have their smoothed unigram probability. Counts, vocabulary and smoothing come
-from every word of every training document. The weights are trained by truncated backpropagation on a run of RUN words of
-every training document, in windows that hand on their state; so what is gathered and trained on grows with the corpus.
-Training is parallel: in each of ROUNDS rounds every TRAINER_DOCS documents train a copy, and copies are averaged in a tree.
+from every word of every training document. The weights are trained by truncated backpropagation on every word of every
+training document: consecutive windows of BPTT words hand on their state from the first word to the end, as in scoring.
+Training is parallel: in each of ROUNDS rounds every TRAINER_DOCS documents train a copy (fewer if they are long, so that a
+copy meets about TRAINER_TOKENS tokens at most), and copies are averaged in a tree.
 A document's score carries the state from its first word to its end, whatever its length.
 
 Training documents are those whose crc32(doc_id as text) mod 10 is not 0; a null doc_id is read as the empty text.
@@ -15,6 +16,7 @@ them meet their counts in a join.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -27,9 +29,9 @@ from talkscale.llm import kernels
 from talkscale.llm.common import materialise
 
 WORDS, CLASS, HIDDEN, KNOWN = 4096, 64, 16, 262_144
-RUN, BPTT, BATCH, ROUNDS, TRAINER_DOCS, RATE = 64, 32, 32, 3, 4000, 0.1
+BPTT, BATCH, ROUNDS, TRAINER_DOCS, TRAINER_TOKENS, RATE = 32, 32, 3, 4000, 8_000_000, 0.1
 START, END = 1, 2
-FAN = 16
+FAN, CHUNK = 16, 16
 
 Model = dict[str, np.ndarray]
 
@@ -60,7 +62,8 @@ class Net:
 
     def step(self, ids: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         a, g, n = self.p["X"][ids], h @ self.p["U"], HIDDEN
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
+        gates = a[:, : 2 * n] + g[:, : 2 * n]
+        np.reciprocal(1 + np.exp(np.negative(gates, out=gates), out=gates), out=gates)
         z, r = gates[:, :n], gates[:, n:]
         c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
         if keep is not None:
@@ -86,6 +89,9 @@ class Net:
             grads["w"] += d.sum(0)
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        if grads is not None:
+            self._inside(h, ids, order[: cuts[-1]], cuts, out, dh, grads)
+            return out, dh
         for c in range(self.classes):
             at = order[cuts[c] : cuts[c + 1]]
             if not len(at):
@@ -97,14 +103,47 @@ class Net:
             s = e.sum(1)
             k, own = np.arange(len(at)), ids[at] - low
             out[at] += b[k, own] - np.log(s)
-            if grads is not None:
-                d = e / s[:, None]
-                d[k, own] -= 1
-                dh[at] += d @ p["O"][low:high]
-                grads["O"][low:high] += d.T @ h[at]
-                grads["o"][low:high] += d.sum(0)
         return out, dh
 
+    def _inside(self, h: np.ndarray, ids: np.ndarray, order: np.ndarray, cuts: np.ndarray, out: np.ndarray, dh: np.ndarray, grads: Model) -> None:
+        """Words inside their classes, with gradients. A training window has few words of a class, so the words, by class in order, are cut into chunks of at most CHUNK words of one class, which are computed together."""
+        if not len(order):
+            return
+        counts = np.diff(cuts)
+        chunks = -(-counts // CHUNK)
+        of_chunk = np.repeat(np.arange(self.classes), chunks)
+        rank = np.arange(len(order)) - np.repeat(cuts[:-1], counts)
+        slot = np.repeat(np.cumsum(chunks) - chunks, counts) * CHUNK + rank
+        high, n = self.classes * CLASS, h.shape[1]
+        O, o = self.p["O"], self.p["o"]  # noqa: E741
+        if high > self.m:
+            O, o = np.concatenate([O, np.zeros((high - self.m, n), O.dtype)]), np.append(o, np.full(high - self.m, -np.inf, o.dtype))  # noqa: E741
+        own = O.reshape(-1, CLASS, n)[of_chunk]
+        x = np.zeros((len(of_chunk) * CHUNK, n), h.dtype)
+        x[slot] = h[order]
+        x = x.reshape(-1, CHUNK, n)
+        b = x @ own.transpose(0, 2, 1)
+        b += o.reshape(-1, 1, CLASS)[of_chunk]
+        b -= b.max(2, keepdims=True)
+        b, at = b.reshape(-1, CLASS), ids[order] % CLASS
+        hit = b[slot, at]
+        d = np.exp(b, out=b)
+        s = d.sum(1)
+        out[order] += hit - np.log(s[slot])
+        d /= s[:, None]
+        d[slot, at] -= 1
+        empty = np.ones(len(d), bool)
+        empty[slot] = False
+        d[empty] = 0
+        d = d.reshape(-1, CHUNK, CLASS)
+        dh[order] += (d @ own).reshape(-1, n)[slot]
+        first = np.flatnonzero(np.diff(of_chunk, prepend=-1))
+        of_o, of_b = np.add.reduceat(d.transpose(0, 2, 1) @ x, first), np.add.reduceat(d.sum(1), first)
+        for c, of_rows, of_bias in zip(of_chunk[first].tolist(), of_o, of_b, strict=True):
+            low, size = c * CLASS, min(CLASS, self.m - c * CLASS)
+            grads["O"][low : low + size] += of_rows[:size]
+            grads["o"][low : low + size] += of_bias[:size]
+
     def score(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log probability of each document: ids[start : start + length], in windows that hand on the state."""
         order = np.argsort(-lengths, kind="stable")
@@ -130,46 +169,94 @@ class Net:
         out[order] = total
         return out
 
-    def train(self, runs: np.ndarray, rate: float = RATE) -> None:
-        """One pass of Adagrad over runs: rows of word numbers, each after the one before; -1 pads."""
+    def train(self, docs: list[np.ndarray], rate: float = RATE) -> int:
+        """One pass of Adagrad over documents: word numbers with the end. Returns the number of tokens learnt from.
+
+        BATCH lanes read one document after another, each from its first word to its end, in windows of BPTT words. The
+        state goes on from window to window and is empty at the start of a document.
+        """
+        if not docs:
+            return 0
+        given, wanted, sizes = self._lanes(docs)
         seen = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
-        for low in range(0, len(runs), BATCH):
-            batch = runs[low : low + BATCH]
-            h = np.zeros((len(batch), HIDDEN), np.float32)
-            for at in range(0, batch.shape[1] - 1, BPTT):
-                part = batch[:, at : at + BPTT + 1]
-                if (part[:, 1:] < 0).all():
-                    break
-                grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-                kept: list = []
-                states, wanted = [], []
-                for t in range(part.shape[1] - 1):
-                    h = self.step(np.where(part[:, t] < 0, self.m, part[:, t]), h, kept)
-                    states.append(h)
-                    wanted.append(part[:, t + 1])
-                hs, ids = np.concatenate(states), np.concatenate(wanted)
-                real = np.flatnonzero(ids >= 0)
+        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+        h, done = np.zeros((len(sizes), HIDDEN), np.float32), 0
+        for at in range(0, int(sizes[0]), BPTT):
+            k = int(np.searchsorted(-sizes, -at))  # lanes that have not ended
+            window, ids = given[at : at + BPTT, :k], wanted[at : at + BPTT, :k].ravel()
+            fresh, h = window == self.m + 1, h[:k]
+            resets = fresh.any(1).tolist()
+            kept: list = []
+            states = []
+            for t, now in enumerate(window):
+                if resets[t]:
+                    h = np.where(fresh[t][:, None], np.float32(0), h)
+                h = self.step(now, h, kept)
+                states.append(h)
+            hs, real = np.concatenate(states), np.flatnonzero(ids >= 0)
+            if len(real) == len(ids):
+                _, d = self.output(hs, ids, grads)
+            else:
                 d = np.zeros_like(hs)
                 _, d[real] = self.output(hs[real], ids[real], grads)
-                self._back(kept, d.reshape(len(kept), len(batch), HIDDEN), grads)
-                for k, g in grads.items():
-                    g /= max(len(real), 1) ** 0.5
-                    seen[k] += g * g
-                    self.p[k] -= (rate * g / np.sqrt(seen[k])).astype(np.float32)
+            self._back(kept, d.reshape(len(kept), k, HIDDEN), grads)
+            done += len(real)
+            scale = np.float32(1 / max(len(real), 1) ** 0.5)
+            for name, g in grads.items():
+                rows = np.unique(window) if name == "X" else slice(None)  # other rows have no gradient
+                own = g[rows] * scale
+                total = seen[name][rows] + own * own
+                seen[name][rows] = total
+                self.p[name][rows] -= (rate * own / np.sqrt(total)).astype(np.float32)
+                g[rows] = 0
+        return done
+
+    def _lanes(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words given and wanted at each time (rows) in each lane, and the lanes' lengths, longest first. Documents keep their order inside a lane; -1 pads what is wanted."""
+        heap = [(0, i) for i in range(min(BATCH, len(docs)))]
+        lanes: list[list[int]] = [[] for _ in heap]
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            load, lane = heap[0]
+            heapq.heapreplace(heap, (load + len(docs[i]), lane))
+            lanes[lane].append(i)
+        lanes.sort(key=lambda own: -sum(len(docs[i]) for i in own))
+        sizes = np.array([sum(len(docs[i]) for i in own) for own in lanes])
+        wanted = np.full((int(sizes[0]), len(lanes)), -1, np.int32)
+        given = np.full_like(wanted, self.m)
+        for lane, own in enumerate(lanes):
+            at = 0
+            for i in sorted(own):
+                end = at + len(docs[i])
+                wanted[at:end, lane] = docs[i]
+                given[at, lane] = self.m + 1
+                given[at + 1 : end, lane] = docs[i][:-1]
+                at = end
+        return given, wanted, sizes
 
     def _back(self, kept: list, d: np.ndarray, grads: Model) -> None:
-        dh, ids, das = np.zeros_like(d[0]), [], []
+        ids, h, z, r, c, gc = (np.stack(x) for x in zip(*kept, strict=True))
+        of_c, of_z, of_r, n = (1 - z) * (1 - c * c), (h - c) * z * (1 - z), gc * r * (1 - r), HIDDEN
+        das, ut = np.empty((*d.shape[:2], 3 * n), d.dtype), np.ascontiguousarray(self.p["U"].T)
+        dgs = np.empty_like(das)
+        fresh = ids == self.m + 1
+        resets = fresh.any(1).tolist()
+        dh = np.zeros_like(d[0])
         for t in range(len(kept) - 1, -1, -1):
-            i, h, z, r, c, gc = kept[t]
             dh = dh + d[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz, dr = dh * (h - c) * z * (1 - z), dc * gc * r * (1 - r)
-            dg = np.concatenate([dz, dr, dc * r], 1)
-            grads["U"] += h.T @ dg
-            ids.append(i)
-            das.append(np.concatenate([dz, dr, dc], 1))
-            dh = dh * z + dg @ self.p["U"].T
-        np.add.at(grads["X"], np.concatenate(ids), np.concatenate(das))
+            da, dg = das[t], dgs[t]
+            dc = np.multiply(dh, of_c[t], out=da[:, 2 * n :])
+            np.multiply(dh, of_z[t], out=da[:, :n])
+            np.multiply(dc, of_r[t], out=da[:, n : 2 * n])
+            dg[:, : 2 * n] = da[:, : 2 * n]
+            np.multiply(dc, r[t], out=dg[:, 2 * n :])
+            dh = dh * z[t] + dg @ ut
+            if resets[t]:
+                dh[fresh[t]] = 0
+        grads["U"] += h.reshape(-1, n).T @ dgs.reshape(-1, 3 * n)
+        flat = ids.ravel()
+        order = np.argsort(flat, kind="stable")
+        cuts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        grads["X"][flat[order[cuts]]] += np.add.reduceat(das.reshape(-1, 3 * n)[order], cuts, axis=0)
 
     def dump(self) -> bytes:
         return b"".join(self.p[k].astype("<f4").tobytes() for k in sorted(self.p))
@@ -188,43 +275,58 @@ def _tokens(t: kernels.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """Of training documents: (token, n), partial counts of all tokens, and rows with (turn, run), a run of RUN tokens of each document and the one before."""
+    """(token, n): partial counts of all tokens of training documents."""
 
     def run(batches):
-        names = ["token", "n", "turn", "run"]
-
         def counts(found):
             tokens, n = np.concatenate([u for u, _ in found]), np.concatenate([c for _, c in found])
             tokens, which = np.unique(tokens, return_inverse=True)
             n = np.bincount(which, n, minlength=len(tokens)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n), pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.list_(pa.int64()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], names=["token", "n"])
 
         for batch in batches:
-            turns, column = batch.columns
-            turn = turns.to_numpy(zero_copy_only=False)
-            found, held = [(np.array([END]), np.array([len(column)]))], 0
-            for t in kernels.slices(column):
-                hashes, first = _tokens(t)
-                found.append(np.unique(hashes, return_counts=True))
+            found, held = [(np.array([END]), np.array([batch.num_rows]))], 0
+            for t in kernels.slices(batch.column(0)):
+                found.append(np.unique(_tokens(t)[0], return_counts=True))
                 held += len(found[-1][0])
-                runs, sizes = [], [0]
-                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    n = b - a + 1
-                    s = int(turn[t.low + i] % max(1, n - RUN + 1))
-                    runs += [np.array([START]) if not s else hashes[a + s - 1 : a + s], hashes[a + s : min(a + s + RUN, b)]]
-                    if a + s + RUN > b:
-                        runs.append(np.array([END]))
-                    sizes.append(1 + min(RUN, n - s))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(runs), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), turns.slice(t.low, t.high - t.low), lists], names=names)
                 if held > 3_000_000:
                     yield counts(found)
                     found, held = [], 0
             if found:
                 yield counts(found)
 
+    return docs.where(~held_out()).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "token bigint, n bigint")
+
+
+def encode(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """Of training documents: (turn, size, ids), all words of each and its end as the numbers that the network reads, in two bytes each (four for larger vocabularies)."""
+    order = np.argsort(words)
+    shared = docs.sparkSession.sparkContext.broadcast((words[order], order))
+    m, kind = len(words), number_type(len(words))
+
+    def run(batches):
+        sorted_words, number = shared.value
+        end = int(_numbers(sorted_words, number, np.array([END]), m)[0])
+        for batch in batches:
+            turns, column = batch.columns
+            for t in kernels.slices(column):
+                hashes, first = _tokens(t)
+                lengths = np.diff(first) + 1
+                ends = np.cumsum(lengths)
+                flat = np.full(len(hashes) + len(lengths), end, kind)
+                inner = np.ones(len(flat), bool)
+                inner[ends - 1] = False
+                flat[inner] = _numbers(sorted_words, number, hashes, m)
+                data, at = flat.tobytes(), [0, *(ends * kind.itemsize).tolist()]
+                ids = pa.array([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([turns.slice(t.low, t.high - t.low), pa.array(lengths, pa.int64()), ids], names=["turn", "size", "ids"])
+
     turn = F.xxhash64(F.lit("run"), F.col("doc_id").cast("string")).bitwiseAND(2**62 - 1)
-    return docs.where(~held_out()).select(turn.alias("turn"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "token bigint, n bigint, turn bigint, run array<bigint>")
+    return docs.where(~held_out()).select(turn.alias("turn"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "turn bigint, size bigint, ids binary")
+
+
+def number_type(m: int) -> np.dtype:
+    return np.dtype("<u2" if m + 1 < 2**16 else "<u4")
 
 
 def commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,52 +352,47 @@ def _numbers(sorted_tokens: np.ndarray, number: np.ndarray, tokens: np.ndarray,
     return np.where(sorted_tokens[i] == tokens, number[i], other)
 
 
-def train(runs: DataFrame, n_runs: int, net: Net, words: np.ndarray) -> None:
-    """Train net's weights on runs (turn, run)."""
-    order = np.argsort(words)
-    sorted_words, number, m = words[order], order, net.m
-    trainers = max(1, round(n_runs / ROUNDS / TRAINER_DOCS))
-    context = runs.sparkSession.sparkContext
-    schema = T.StructType.fromDDL("trainer bigint, docs bigint, weights binary")
+def train(encoded: DataFrame, net: Net) -> int:
+    """Train net's weights on all tokens of encoded documents (turn, size, ids). Returns the number of tokens learnt from."""
+    m, kind = net.m, number_type(net.m)
+    n_docs, n_tokens = encoded.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    trainers = max(1, round(n_docs / ROUNDS / TRAINER_DOCS), math.ceil(n_tokens / ROUNDS / TRAINER_TOKENS))
+    context = encoded.sparkSession.sparkContext
+    schema = T.StructType.fromDDL("trainer bigint, docs bigint, tokens bigint, weights binary")
+    learnt = 0
     for turn in range(ROUNDS):
         shared = context.broadcast(net)
 
         def one(table: pa.Table) -> pa.Table:
-            table = table.sort_by("turn").combine_chunks()
-            lists = table["run"].combine_chunks()
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lists.flatten().to_numpy()
-            found = _numbers(sorted_words, number, flat, m)
-            found[flat == START] = m + 1
-            grid = np.full((len(lists), RUN + 1), -1)
-            row = np.repeat(np.arange(len(lists)), np.diff(ends))
-            grid[row, np.arange(len(flat)) - ends[:-1][row]] = found
+            table = table.sort_by("turn")
+            docs = [np.frombuffer(x.as_buffer(), kind) for x in table["ids"]]
             own = Net(np.ones(m), 1.0)
             own.load(shared.value.dump())
-            own.train(grid)
-            return pa.table({"trainer": table["trainer"][:1].cast(pa.int64()), "docs": pa.array([len(lists)], pa.int64()), "weights": pa.array([own.dump()], pa.binary())})
+            tokens = own.train(docs)
+            return pa.table({"trainer": table["trainer"][:1].cast(pa.int64()), "docs": pa.array([len(docs)], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "weights": pa.array([own.dump()], pa.binary())})
 
         def average(table: pa.Table) -> pa.Table:
             docs = table["docs"].to_numpy()
             total = sum(np.frombuffer(w.as_py(), "<f4") * float(n) for w, n in zip(table["weights"], docs, strict=True)) / docs.sum()
-            return pa.table({"trainer": table["next"][:1], "docs": pa.array([int(docs.sum())], pa.int64()), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+            return pa.table({"trainer": table["next"][:1], "docs": pa.array([int(docs.sum())], pa.int64()), "tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "weights": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-        part = runs.where(F.pmod(F.xxhash64("turn"), F.lit(ROUNDS)) == turn).withColumn("trainer", F.pmod(F.xxhash64(F.lit("trainer"), "turn"), F.lit(trainers)))
+        part = encoded.where(F.pmod(F.xxhash64("turn"), F.lit(ROUNDS)) == turn).withColumn("trainer", F.pmod(F.xxhash64(F.lit("trainer"), "turn"), F.lit(trainers)))
         models = materialise(part.groupBy("trainer").applyInArrow(one, schema), "models")
         left = trainers
         while left > 1:
             models = materialise(models.withColumn("next", F.floor(F.col("trainer") / FAN)).groupBy("next").applyInArrow(average, schema), "models")
             left = -(-left // FAN)
-        got = models.select("weights").head(1)
+        got = models.select("weights", "tokens").head(1)
         if got:
             net.load(bytes(got[0][0]))
+            learnt += got[0][1]
+    return learnt
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    seen = materialise(gather(docs), "gathered")
-    counts = materialise(seen.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    counts = materialise(gather(docs).groupBy("token").agg(F.sum("n").alias("n")), "counts")
     size = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = size[0] or 0, size[1]
     tokens, known = commonest(counts, KNOWN)
@@ -303,8 +400,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     rest = (total - int(known[:m].sum())) + 0.1 * (distinct - m + 1)
     whole = total + 0.1 * (distinct + 1)
     net = Net(known[:m] + 0.1, rest)
-    runs = seen.where("token IS NULL").select("turn", "run")
-    train(runs, runs.count(), net, tokens[:m])
+    train(materialise(encode(docs, tokens[:m]), "encoded"), net)
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((net, tokens[order], order, known))
 

@@ -247,3 +247,22 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
         docs = out
     assert corpus_pipeline.run(spark, where).count() > 0
+
+
+def test_lm_trains_on_every_token(spark):
+    texts = ["one two three " * 700, None, "", "four five", *("w%d x y z " % i * (40 * i) for i in range(12))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    words = np.unique(np.concatenate([lm._tokens(t)[0] for t in lm.kernels.slices(lm.pa.array([t or "" for t in texts]))]))
+    encoded = lm.encode(docs, words)
+    held = {r.doc_id for r in docs.where(lm.held_out()).select("doc_id").collect()}
+    tokens = sum(len(WORD.findall(t or "")) + 1 for i, t in enumerate(texts) if i not in held)
+    assert lm.train(encoded, lm.Net(np.ones(len(words)), 1.0)) == tokens > 64 * len(texts)
+
+
+def test_lm_learns_beyond_the_first_words():
+    rng = np.random.default_rng(1)
+    docs = [np.concatenate([rng.integers(0, 50, 200), np.tile([50, 51, 52], 400), [53]]) for _ in range(8)]
+    net = lm.Net(np.ones(54), 1.0)
+    assert net.train(docs) == sum(map(len, docs))
+    tail = np.tile([50, 51, 52], 20)
+    assert net.score(tail, np.array([0]), np.array([len(tail)]))[0] / len(tail) > -2  # -4 by chance
