@@ -24,6 +24,10 @@ STOP_WORDS = frozenset(
     "al como con cuando de del desde donde e el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no o para pero por porque que se ser si sin sobre son su sus también tan te un una y ya".split()
 )
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title".split())
+#: Of these, the text that follows a start tag is never the page's.
+RAW_TEXT = frozenset("script style textarea title".split())
+#: Any other start tag, and text, closes a head.
+HEAD = frozenset("html head base link meta title style script noscript template".split())
 SKIPPED = frozenset("head nav footer aside form button select option datalist dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +70,7 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is unwanted
     open_: dict[str, int] = {}
+    unclosed: set[str] = set()  # raw elements without an end tag in the rest of the page
     bad = articles = links = at = 0
     text: list[str] = []
     linked: list[str] = []
@@ -88,6 +93,8 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         articles -= name in ("article", "main")
 
     def put(part: str) -> None:
+        if stack and stack[-1][0] == "head" and part.strip():
+            pop()
         if part and not bad:
             text.append(part)
             if links:
@@ -115,9 +122,19 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                     pop()
                 pop()
             continue
+        while open_.get("head") and name not in HEAD:
+            pop()
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name in ("svg", "math") and attributes.rstrip().endswith("/"):
+                continue
+            end = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(name)  # only the tag goes
+            if name in RAW_TEXT:
+                following = TOKEN.search(page, at)
+                at = following.start() if following else len(page)
             continue
         if name in VOID or attributes.rstrip().endswith("/") and name in INLINE:
             continue

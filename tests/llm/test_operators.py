@@ -266,3 +266,19 @@ def test_lm_learns_beyond_the_first_words():
     assert net.train(docs) == sum(map(len, docs))
     tail = np.tile([50, 51, 52], 20)
     assert net.score(tail, np.array([0]), np.array([len(tail)]))[0] / len(tail) > -2  # -4 by chance
+
+
+def test_html_keeps_the_rest_of_the_page():
+    story = "This is the story of a man who was in the house and he had not been there for so long that they did not know him at all. "
+    for page in (
+        f"<p>{story}</p><svg width=1 /><p>{story}</p>",
+        f"<p>{story}</p><math/><p>{story}</p><svg><text>x</text></svg>",
+        f"<p>{story}</p><svg><g><p>{story}</p>",
+        f"<p>{story}</p><script src=x><p>{story}</p>",
+        f"<head><meta charset=u><title>t</title><body><p>{story}</p><p>{story}</p>",
+        f"<html><head><title>t</title><link href=x><p>{story}</p><p>{story}</p>",
+        f"<head><style>p</style></head><p>{story}</p><p>{story}</p>",
+    ):
+        assert html.main_text(page) == f"{story}{story}".strip()
+    assert html.main_text(f"<head><title>t</title>{story * 2}") == (story * 2).strip()
+    assert html.main_text(f"<p>{story}</p><script>var code = 1") == story.strip()
