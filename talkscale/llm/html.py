@@ -3,7 +3,8 @@
 Markup is cut into blocks; scripts, styles and regions that their element, role or class names as navigation, header,
 footer, sidebar, notice, advert, form or comments are left out. Pass 1 decides blocks by stop-word density, length and
 link density; pass 2 gives undecided ones the label of the nearest decided neighbour. On a page with an article (or main)
-element only its blocks count, and there a block is bad only for its links.
+element only its blocks count; they go through the same two passes, with thresholds that take the element as evidence:
+half the stop words are enough, half of a block may be links, and a short block came near being good.
 
 Null, empty and broken pages give what can be read of them, an empty text if nothing; nothing is capped.
 """
@@ -45,6 +46,7 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 LETTERS = re.compile(r"[^\W\d_]+")
 
 MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.2, 70, 200, 0.30, 0.32
+INSIDE_LINKS, INSIDE_LOW, INSIDE_HIGH = 0.5, STOP_LOW / 2, STOP_HIGH / 2
 GOOD, BAD, OPEN, NEAR = "good", "bad", "open", "near"
 
 
@@ -154,29 +156,24 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
 
 
 def label(text: str, linked: int, inside: bool) -> str:
-    """Pass 1. inside: on a page with an article, all blocks that come here lie in it."""
-    density = linked / len(text)
-    if inside:
-        if density > 0.5:
-            return BAD
-        words = LETTERS.findall(text.lower())
-        return GOOD if len(text) >= SHORT or sum(w in STOP_WORDS for w in words) >= STOP_LOW * len(words) else NEAR
-    if density > MAX_LINKS:
+    """Pass 1. inside: within an article, which shifts the thresholds."""
+    links, low, high = (INSIDE_LINKS, INSIDE_LOW, INSIDE_HIGH) if inside else (MAX_LINKS, STOP_LOW, STOP_HIGH)
+    if linked / len(text) > links:
         return BAD
     if len(text) < SHORT:
-        return BAD if linked else OPEN
+        return NEAR if inside else BAD if linked else OPEN
     words = LETTERS.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if stops >= STOP_HIGH:
+    if stops >= high:
         return GOOD if len(text) > LONG else NEAR
-    return NEAR if stops >= STOP_LOW else BAD
+    return NEAR if stops >= low else BAD
 
 
-def settle(labels: list[str], inside: bool) -> list[bool]:
+def settle(labels: list[str]) -> list[bool]:
     """Pass 2: undecided blocks take the label of the nearest decided one; at equal distance the good one if they came near it by themselves. On a page without a good block those that came near are good."""
     if GOOD not in labels:
         labels = [GOOD if x == NEAR else x for x in labels]
-    decided = [i for i, x in enumerate(labels) if x in (GOOD, BAD) and not (inside and x == BAD)]
+    decided = [i for i, x in enumerate(labels) if x in (GOOD, BAD)]
     if not decided:
         return [x == GOOD for x in labels]
     before: list[int | None] = []
@@ -205,7 +202,7 @@ def main_text(page: str | None) -> str:
     inside = any(x[2] for x in found)
     if inside:
         found = [x for x in found if x[2]]
-    kept = settle([label(*x[:2], inside) for x in found], inside)
+    kept = settle([label(*x[:2], inside) for x in found])
     return " ".join(x[0] for x, keep in zip(found, kept, strict=True) if keep)
 
 

@@ -282,3 +282,10 @@ def test_html_keeps_the_rest_of_the_page():
         assert html.main_text(page) == f"{story}{story}".strip()
     assert html.main_text(f"<head><title>t</title>{story * 2}") == (story * 2).strip()
     assert html.main_text(f"<p>{story}</p><script>var code = 1") == story.strip()
+
+
+def test_html_rules_act_in_articles():
+    story = "This is the story of a man who was in the house and he had not been there for so long that they did not know him at all. " * 2
+    advert = "Cheap shoes boots sandals sneakers trainers slippers clogs loafers brogues pumps heels flats wedges"
+    page = f"<article><h1>A title</h1><p>{story}</p><p>A note.</p><div class=x>{advert}</div><div>Order today</div><div class=x>{advert}</div><p>{story}</p><p>The end.</p></article>"
+    assert html.main_text(page) == f"A title {story}A note. {story}The end."
