@@ -2,8 +2,9 @@
 
 Markup is cut into blocks; scripts, styles and regions that their element, role or class names as navigation, header,
 footer, sidebar, notice, advert, form or comments are left out. Pass 1 decides blocks by stop-word density, length and
-link density; pass 2 gives undecided ones the label of the nearest decided neighbour. On a page with an article (or main)
-element only its blocks count; they go through the same two passes, with thresholds that take the element as evidence:
+link density; pass 2 gives undecided ones the label of the nearest decided neighbour. If an article (or main)
+element holds most of the text that pass 1 finds good or near, only its blocks count; otherwise all blocks do, and the
+element is no evidence. Blocks of an article that counts go through the same two passes, with thresholds that take the element as evidence:
 half the stop words are enough, half of a block may be links, and a short block came near being good.
 
 Null, empty and broken pages give what can be read of them, an empty text if nothing; nothing is capped.
@@ -199,7 +200,10 @@ def settle(labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    inside = any(x[2] for x in found)
+    weight = {True: 0, False: 0}  # characters that the rules find good without the element as evidence
+    for text, linked, own in found:
+        weight[own] += len(text) * (label(text, linked, False) in (GOOD, NEAR))
+    inside = weight[True] >= weight[False] and any(x[2] for x in found)
     if inside:
         found = [x for x in found if x[2]]
     kept = settle([label(*x[:2], inside) for x in found])

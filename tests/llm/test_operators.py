@@ -289,3 +289,11 @@ def test_html_rules_act_in_articles():
     advert = "Cheap shoes boots sandals sneakers trainers slippers clogs loafers brogues pumps heels flats wedges"
     page = f"<article><h1>A title</h1><p>{story}</p><p>A note.</p><div class=x>{advert}</div><div>Order today</div><div class=x>{advert}</div><p>{story}</p><p>The end.</p></article>"
     assert html.main_text(page) == f"A title {story}A note. {story}The end."
+
+
+def test_html_keeps_a_story_outside_of_articles():
+    story = "This is the story of a man who was in the house and he had not been there for so long that they did not know him at all. " * 2
+    cards = "".join(f"<article class=card><h3>Card {i}</h3><p>A look at what is on in the town and how to get there by the bus this week.</p></article>" for i in range(3))
+    got = html.main_text(f"<div class=x><p>{story}</p><p>{story}</p></div><div class=cards>{cards}</div>")
+    assert got.startswith(f"{story}{story}".strip())
+    assert html.main_text(f"<div><p>{story}</p></div><article><p>{story}</p><p>{story}</p></article>") == f"{story}{story}".strip()
