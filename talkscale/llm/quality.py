@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose value is above a cutoff. Cutoffs come from fixed grids; in each stratum (language) a
-cutoff is certified if, of the labelled good documents, so few are above it that an exact binomial test rejects a false
-rejection rate of alpha / number of rules or more, at level delta / (strata * rules * cutoffs). That Bonferroni correction
-covers all tests, so with probability 1 - delta the certified rules together reject at most alpha of the good documents
-in every stratum. Of the certified cutoffs the one that rejects most is taken; a stratum with too few labels has no rule.
+Each rule rejects a document whose value is above a cutoff. Cutoffs come from fixed grids, which make one fixed sequence of
+ever stricter rule sets (STEPS): from the cutoffs that reject least, each step tightens one rule, the rules in turn. In each
+stratum (language) the sets are tested in that order: a set is certified if, of the labelled good documents, so few break
+any of its rules that an exact binomial test rejects a false rejection rate of alpha or more, at level delta / strata; the
+first set that isn't ends the sequence, and the last certified one is taken. As a set is tested only after all before it
+were certified, the level needs no division by the number of sets: with probability 1 - delta the rules together reject at
+most alpha of the good documents in every stratum. A stratum with fewer than least_labels() labels has no rule.
 
 Null text has no words and fails the base rule. Null language is a stratum of its own. A document labelled more than once
 counts as good only if every label says so.
@@ -34,6 +36,10 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 }
 
 
+#: The sequence of rule sets: each step adds a rule or tightens it.
+STEPS = [(rule, RULES[rule][1][-1 - i]) for i in range(max(len(grid) for _, grid in RULES.values())) for rule in RULES if i < len(RULES[rule][1])]
+
+
 def value(rule: str) -> Column:
     above, below = RULES[rule][0].split(" / ")
     return F.coalesce(F.try_divide(F.expr(above).cast("double"), F.col(below)), F.lit(0.0))
@@ -80,15 +86,23 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     """For each stratum the certified cutoff of each rule. Only strata with enough labels come to the driver, one row each."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     holdout = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
-    sizes = holdout.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum((value(r) > c).cast("int")).alias(f"{r}_{i}") for r, (_, grid) in RULES.items() for i, c in enumerate(grid)])
+    step = F.least(*[F.when(value(r) > c, i) for i, (r, c) in enumerate(STEPS)])  # the first that rejects the document
+    sizes = holdout.select("lang", step.alias("step")).groupBy("lang").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("step") <= i, 1)).alias(f"above_{i}") for i in range(len(STEPS))])
     sizes = materialise(sizes, "holdout")
-    strata = sizes.count()
-    rate = alpha / len(RULES)
-    level = delta / (max(strata, 1) * sum(len(grid) for _, grid in RULES.values()))
+    level = delta / max(sizes.count(), 1)
     out = {}
-    for row in sizes.where(F.col("n") >= least_labels(rate, level)).collect():
-        found = {r: next((c for i, c in enumerate(grid) if certified(row[f"{r}_{i}"], row["n"], rate, level)), None) for r, (_, grid) in RULES.items()}
-        out[row["lang"]] = {r: c for r, c in found.items() if c is not None}
+    for row in sizes.where(F.col("n") >= least_labels(alpha, level)).collect():
+        out[row["lang"]] = last_certified([row[f"above_{i}"] for i in range(len(STEPS))], row["n"], alpha, level)
+    return out
+
+
+def last_certified(above: list[int], n: int, rate: float, level: float) -> dict[str, float]:
+    """The cutoffs of the last set before the first that isn't certified; above: how many of n each set rejects."""
+    out = {}
+    for (rule, cutoff), k in zip(STEPS, above, strict=True):
+        if not certified(k, n, rate, level):
+            break
+        out[rule] = cutoff
     return out
 
 

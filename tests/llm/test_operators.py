@@ -297,3 +297,21 @@ def test_html_keeps_a_story_outside_of_articles():
     got = html.main_text(f"<div class=x><p>{story}</p><p>{story}</p></div><div class=cards>{cards}</div>")
     assert got.startswith(f"{story}{story}".strip())
     assert html.main_text(f"<div><p>{story}</p></div><article><p>{story}</p><p>{story}</p></article>") == f"{story}{story}".strip()
+
+
+def test_quality_rules_with_few_labels(spark):
+    good = [(i, " ".join(f"word{(i * 31 + k) % 997}" for k in range(20)), "en") for i in range(300)]
+    junk = [(1000, " ".join(f"# * word{k}" for k in range(20)), "en"), (1001, " ".join(f"# * word{k}" for k in range(20)), "fr")]
+    docs = spark.createDataFrame(good + junk, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id bigint, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge_quality(docs, labels).collect()}
+    assert not kept[1000] and kept[1001] and sum(kept[i] for i in range(300)) >= 294  # fr has no labels
+
+
+def test_quality_sequence():
+    for rule, (_, grid) in quality.RULES.items():
+        assert [c for r, c in quality.STEPS if r == rule] == list(reversed(grid))
+    n = len(quality.STEPS)
+    assert quality.last_certified([0] * 8 + [50] * (n - 8), 400, 0.02, 0.05) == {r: quality.RULES[r][1][-2 if i < 2 else -1] for i, r in enumerate(quality.RULES)}
+    assert quality.least_labels(0.02, 0.05 / 4) == 217
+    assert quality.last_certified([0] * n, 216, 0.02, 0.05 / 4) == {} and len(quality.last_certified([0] * n, 217, 0.02, 0.05 / 4)) == len(quality.RULES)
