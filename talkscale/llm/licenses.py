@@ -1,9 +1,12 @@
-"""Licence scan: lines, paragraphs and whole texts, normalised, against licence templates by the Dice coefficient of their word bigrams. DataFrame functions only.
+"""Licence scan: lines, sentences, paragraphs, whole texts and word windows, normalised, against licence templates by the Dice coefficient of their word bigrams. DataFrame functions only.
 
 Bigrams count with repeats (the second occurrence of a bigram matches only a second one). A segment of n bigrams can reach
-a Dice coefficient of t with a template of m only if t/(2-t) m <= n <= (2-t)/t m; segments outside all such ranges are
-dropped by their number of words, and the others meet only templates that they fit, by an equi-join on n.
+a Dice coefficient of t with a template of m only if t/(2-t) m <= n <= (2-t)/t m, and then shares t/(2-t) m bigrams at least;
+so it holds one of the template's anchors, as many of its rarer bigrams as leave fewer than that. Texts without an anchor of
+any template are dropped by one pattern. In the others segments meet only templates that they fit, by an equi-join on n, and
+a window as long as the template slides over all words, wherever in a line or paragraph a notice is.
 
+n_matches counts the segments that match, and for licences without one the places where windows match.
 Null and empty texts, and texts without a match, get a row with n_matches 0.
 """
 
@@ -11,10 +14,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkscale.llm.common import materialise
+
 THRESHOLD = 0.75
 
 #: Public licence notices, by SPDX identifier.
@@ -31,6 +37,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
@@ -61,6 +69,55 @@ def bounds(m: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold / (2 - threshold) * m - 1e-9), math.floor((2 - threshold) / threshold * m + 1e-9)
 
 
+def anchors(pairs: list[str], threshold: float) -> list[str]:
+    """Bigrams of a template (by bigrams()) of which any text that can match has one: those of longer words, without numbers."""
+    spare = len(pairs) - math.ceil(threshold / (2 - threshold) * len(pairs) - 1e-9) + 1
+    counts = Counter(p.rpartition(" ")[0] for p in pairs)
+    out = []
+    for pair in sorted(counts, key=lambda p: (-min(map(len, p.split())), -len(p), p)):
+        if spare <= 0:
+            break
+        out.append(pair)
+        spare -= counts[pair]
+    return out
+
+
+def _pattern(pairs: set[str]) -> str:
+    """Any of pairs among words between single spaces; by their first letters, so that most words fail at once."""
+    letters = sorted({p[0] for p in pairs})
+    return " (?:" + "|".join(f"{x}(?:{'|'.join(sorted(p[1:] for p in pairs if p[0] == x))})" for x in letters) + ") "
+
+
+def _windows(base: DataFrame, known: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
+    """(row, found_name, found_dice, spans): for each text and template the best window of the template's size, and where windows match. A best window starts at a bigram of the template, or is the text's last."""
+    rows = []
+    for k, (name, pairs) in enumerate(known):
+        first = set(anchors(pairs, threshold))
+        rows += [(pair, k, name, len(pairs), i, n, pair in first) for i, (pair, n) in enumerate(Counter(p.rpartition(" ")[0] for p in pairs).items())]
+    table = F.broadcast(base.sparkSession.createDataFrame(rows, "pair string, template int, name string, m int, kind int, times int, anchor boolean"))
+    words = base.where("flat IS NOT NULL").select("row", F.split(F.trim("flat"), " ").alias("words")).withColumn("last", F.size("words") - 1)
+    pairs = words.where("last > 0").select("row", "last", F.posexplode(_bigrams(F.col("words"))).alias("at", "pair"))
+    item = F.struct("at", "kind", "times")
+    each = pairs.join(table, "pair").groupBy("row", "template").agg(F.first("name").alias("name"), F.first("m").alias("m"), F.first("last").alias("last"), F.max("anchor").alias("anchor"), F.sort_array(F.collect_list(item)).alias("items"))
+    need = threshold * F.col("m")
+    each = each.where(F.col("anchor") & (F.size("items") >= need) & (F.col("last") >= F.col("m")))
+    starts = F.array_distinct(F.transform("items", lambda x: F.least(x["at"], F.col("last") - F.col("m"))))
+    # only where enough bigrams of the template follow
+    dense = F.filter(starts, lambda s: F.size(F.filter("items", lambda x: x["at"].between(s, s + F.col("m") - 1))) >= need)
+    one = each.select("row", "name", "m", "items", F.explode(dense).alias("start"))
+    one = one.withColumn("inside", F.filter("items", lambda x: x["at"].between(F.col("start"), F.col("start") + F.col("m") - 1)))
+    kinds = F.array_distinct(F.transform("inside", lambda x: F.struct(x["kind"].alias("kind"), x["times"].alias("times"))))
+    shared = F.aggregate(kinds, F.lit(0), lambda acc, k: acc + F.least(k["times"], F.size(F.filter("inside", lambda x: x["kind"] == k["kind"]))))
+    one = one.withColumn("found_dice", shared.cast("double") / F.col("m")).where(F.col("found_dice") >= threshold)
+    return one.groupBy("row", F.col("name").alias("found_name")).agg(F.max("found_dice").alias("found_dice"), F.collect_list(F.struct("start", (F.col("start") + F.col("m")).alias("end"))).alias("spans"))
+
+
+def _places(spans: Column) -> Column:
+    """How many stretches sorted spans cover."""
+    none = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"))
+    return F.aggregate(spans, none, lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.when(x["start"] >= acc["end"], 1).otherwise(0)).alias("n")))["n"]
+
+
 def _bigrams(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
 
@@ -81,22 +138,31 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
     table = F.broadcast(docs.sparkSession.createDataFrame(rows, "fit int, name string, template array<string>"))  # some thousand rows, fixed by the templates
 
     norm = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{N}\\n]+", " ")
-    df = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), norm.alias("norm"))
+    flat = F.concat(F.lit(" "), F.regexp_replace("norm", "[ \n]+", " "), F.lit(" "))
+    base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", norm.alias("norm")).withColumn("flat", flat)
+    held = F.col("flat").rlike(_pattern({a for _, b in known for a in anchors(b, threshold)}))
+    base = materialise(base.select("doc_id", "row", *[F.when(held, F.col(c)).alias(c) for c in ("text", "norm", "flat")]), "licensed")
+    df = base.where("flat IS NOT NULL")
     lines, paragraphs = F.split("norm", "\n"), F.split("norm", "\n ?\n")
     # a paragraph of one line is that line
     more = F.filter(F.concat(paragraphs, F.array("norm")), lambda x: F.contains(x, F.lit("\n")))
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     tidy = lambda a: F.transform(a, lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " ")))
-    segments = F.filter(F.concat(F.transform(lines, lambda x: F.trim(x)), tidy(more)), lambda x: spaces(x).between(least, most))
-    df = df.select("doc_id", "row", F.explode_outer(F.array_distinct(segments)).alias("segment"))
+    sentences = F.transform(F.split(F.lower("text"), "(?<=[.!?;:])\\s+"), lambda x: F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " ")))
+    segments = F.filter(F.concat(F.transform(lines, lambda x: F.trim(x)), tidy(more), sentences), lambda x: spaces(x).between(least, most))
+    df = df.select("row", F.explode(F.array_distinct(segments)).alias("segment"))
     df = df.withColumn("fit_n", spaces(F.col("segment"))).withColumn("words", F.split("segment", " "))
     df = df.withColumn("plain", F.when(F.col("fit_n") > 0, _bigrams(F.col("words")))).withColumn("pairs", _numbered("plain"))
-    found = df.join(table, df["fit_n"] == table["fit"], "left")
+    found = df.join(table, df["fit_n"] == table["fit"])
     dice = (2.0 * F.size(F.array_intersect("pairs", "template")) / (F.size("pairs") + F.size("template"))).alias("dice")
-    scored = found.select("doc_id", "row", "segment", "name", F.when(F.col("name").isNotNull(), dice).alias("dice")).withColumn("hit", F.col("dice") >= threshold)
-    best = F.max(F.when(F.col("hit"), F.col("dice")))
-    out = scored.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), best.alias("dice"), F.sort_array(F.collect_set(F.when(F.col("hit"), F.struct(-F.col("dice"), F.col("name"))))).alias("ranked"), F.array_size(F.collect_set(F.when(F.col("hit"), F.col("segment")))).alias("n")
-    )
-    names = F.array_sort(F.array_distinct(F.transform("ranked", lambda r: r["name"])))
-    return out.select("doc_id", F.try_element_at("ranked", F.lit(1))["name"].alias("license"), "dice", F.array_join(names, ",").alias("licenses"), F.col("n").cast("bigint").alias("n_matches"))
+    hits = found.select("row", "segment", "name", dice).where(F.col("dice") >= threshold)
+    whole = hits.groupBy("row").agg(F.collect_set(F.struct(-F.col("dice"), F.col("name"))).alias("ranked"), F.size(F.collect_set("segment")).alias("n"))
+    slid = _windows(base, known, threshold).groupBy("row").agg(F.collect_set(F.struct(-F.col("found_dice"), F.col("found_name").alias("name"))).alias("slid"), F.collect_list(F.struct("found_name", "spans")).alias("places"))
+    out = base.select("doc_id", "row").join(whole, "row", "left").join(slid, "row", "left")
+    none = F.array().cast("array<struct<d:double,name:string>>")
+    same = lambda c: F.coalesce(F.col(c).cast("array<struct<d:double,name:string>>"), none)
+    out = out.withColumn("own", F.transform(same("ranked"), lambda r: r["name"])).withColumn("all", F.sort_array(F.concat(same("ranked"), same("slid"))))
+    spans = F.array_sort(F.flatten(F.transform(F.filter("places", lambda p: ~F.array_contains("own", p["found_name"])), lambda p: p["spans"])))
+    best, names = F.try_element_at("all", F.lit(1)), F.array_sort(F.array_distinct(F.transform("all", lambda r: r["name"])))
+    n = F.coalesce("n", F.lit(0)) + F.coalesce(_places(spans), F.lit(0))
+    return out.select("doc_id", best["name"].alias("license"), (-best["d"]).alias("dice"), F.array_join(names, ",").alias("licenses"), n.cast("bigint").alias("n_matches"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -315,3 +316,20 @@ def test_quality_sequence():
     assert quality.last_certified([0] * 8 + [50] * (n - 8), 400, 0.02, 0.05) == {r: quality.RULES[r][1][-2 if i < 2 else -1] for i, r in enumerate(quality.RULES)}
     assert quality.least_labels(0.02, 0.05 / 4) == 217
     assert quality.last_certified([0] * n, 216, 0.02, 0.05 / 4) == {} and len(quality.last_certified([0] * n, 217, 0.02, 0.05 / 4)) == len(quality.RULES)
+
+
+def test_license_inside_longer_text(spark):
+    gpl, agpl, lgpl = (next(t for n, t in licenses.TEMPLATES if n == name and "redistribute" in t) for name in ("GPL-3.0", "AGPL-3.0", "LGPL-3.0"))
+    filler = "The quick brown fox jumps over the lazy dog while other words go on and on here"
+    texts = [
+        "Copyright 2024 Example Ltd and contributors. Released under the MIT License. See the file LICENSE for details.",
+        f"{filler} {filler} {gpl} {filler} {filler}",
+        "int main;\nwhile here " + "\n".join(textwrap.wrap(gpl, 60)) + f" and so on\nreturn code {filler}",
+        agpl, lgpl,
+        f"{filler} released under the mit license {filler} {filler}, released under the MIT licence (0.75) or released under the MIT license {filler}",
+        filler, None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i].license for i in range(8)] == ["MIT", "GPL-3.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0", "MIT", None, None]
+    assert [got[i].dice for i in range(6)] == [1] * 6 and got[5].n_matches == 3 and got[6].n_matches == got[7].n_matches == 0 and got[0].n_matches > 0
