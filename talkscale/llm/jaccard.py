@@ -259,9 +259,16 @@ def link_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one_of_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the smallest doc_id of each component, with docs' own columns. doc_id is taken to be unique, as after exact deduplication; rows without one stay."""
-    dropped = link_near_copies(docs, size, percent).where("component_id <> doc_id").select("doc_id")
-    dropped = materialise(dropped, "dropped")
+    """docs without all but one row of each component, with docs' own columns. The row with the smallest doc_id stays, one without a doc_id only if no other is there. Rows are known by a key written with them, so doc_id may repeat or be null."""
+    keyed = materialise(docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("key")), "keyed")
+    linked = link_near_copies(keyed.select(F.col("key").alias("doc_id"), F.col("own.text").alias("text")), size, percent)
+    linked = materialise(linked.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")), "linked")
+    # most components are single rows, which need no further look
+    several = linked.where("key <> component").select("component").distinct()
+    members = linked.join(several, "component", "left_semi").join(keyed.select("key", F.col("own.doc_id").alias("doc_id")), "key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    stays = members.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    dropped = materialise(members.select("key").join(stays, "key", "left_anti"), "dropped")
     if dropped.count() <= BROADCAST_CLASSES:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(dropped, "key", "left_anti").select("own.*")

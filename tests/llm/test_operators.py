@@ -333,3 +333,24 @@ def test_license_inside_longer_text(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert [got[i].license for i in range(8)] == ["MIT", "GPL-3.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0", "MIT", None, None]
     assert [got[i].dice for i in range(6)] == [1] * 6 and got[5].n_matches == 3 and got[6].n_matches == got[7].n_matches == 0 and got[0].n_matches > 0
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    text = lambda k, change="": " ".join(f"w{k}x{i}" for i in range(100)) + change
+    rows = [(1, text(1), "a"), (5, text(1, " more"), "b"), (5, text(2), "c"), (None, text(3), "d"), (None, text(3, " more"), "e"), (None, text(4), "f"), (7, text(4, " more"), "g"), (8, None, "h"), (8, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string").repartition(3)
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(shingles[a] & shingles[b])
+            if n and 100 * n >= 80 * len(shingles[a] | shingles[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    want = collections.Counter()
+    for g in set(group):
+        own = [r for r, x in zip(rows, group, strict=True) if x == g]
+        want[min((r[0] is None, r[0] or 0) for r in own)] += 1
+    out = jaccard.keep_one_of_near_copies(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and collections.Counter((r.doc_id is None, r.doc_id or 0) for r in got) == want
+    assert {"a", "c", "g", "h", "i"} < {r.key for r in got} and len({"d", "e"} & {r.key for r in got}) == 1
