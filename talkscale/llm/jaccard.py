@@ -5,12 +5,11 @@ link must share one of the first n - ceil(t n) + 1 of each. Counting all shingle
 cut (twice the prefix's share) come first in the order, by count, then the others by hash, and only the first are counted.
 A class whose prefix holds only shingles of its own links with nothing and is done.
 
-Classes with the same size and the same shared prefix form a group, and postings list groups. Instead of all pairs of a
-posting, each group is first held against one pivot of the posting, and each member against its group's first; links found
-so join most of a large family of near copies at linear cost. Only pairs of a posting that lie in different components are
-then expanded to members, filtered by size and position, and verified on the whole sets. Such pairs are few or, where a
-posting has many, further pivots come first; in the end every pair that isn't in one component already is verified,
-so components are exact.
+Classes with the same size and the same shared prefix form a group, and postings list groups. Families of near copies are
+joined first, at linear cost: in each of PIVOT_ROUNDS rounds every item of a posting is held against the posting's PIVOTS
+pivots, and pairs that lie in one component already or whose sketches differ too much go no further. Then items outside of
+a posting's largest component are held against its other items: pairs of different components that pass the filters of size,
+position and sketch are expanded to members and verified on the whole sets, so components are exact.
 
 Null and empty texts have no shingles and link with nothing. A text of fewer words than a shingle is one shingle.
 """
@@ -29,9 +28,13 @@ from talkscale.llm.common import add_columns, discard, materialise
 
 #: Up to so many classes (16 bytes each and their ids) are broadcast to pick whole sets; beyond it they are joined by key.
 BROADCAST_CLASSES = 200_000
-PIVOT_ROUNDS = 4
+#: Rounds of pivots, and pivots of a posting in each; what they don't join is left to the comparison of all items that may link.
+PIVOT_ROUNDS, PIVOTS = 3, 8
+#: A posting knows up to so many tokens that stand before it in the prefix.
+FIRST = 16
 #: Words of 64 parity bits in a set's sketch; two sets differ in at least as many shingles as their sketches in bits.
 SKETCH = 8
+BITS = [f"b{i}" for i in range(SKETCH)]
 
 
 def _needed(n, percent: int):
@@ -89,7 +92,15 @@ def _may_link(n1: Column, n2: Column, percent: int) -> Column:
 
 def _may_differ(n1: Column, n2: Column, sketch1, sketch2, percent: int) -> Column:
     """Whether the sketches allow as few differences as a link does."""
-    bits = sum((F.bit_count(sketch1(f"b{i}").bitwiseXOR(sketch2(f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    bits = sum((F.bit_count(sketch1(b).bitwiseXOR(sketch2(b))) for b in BITS), F.lit(0))
+    overlap = F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
+    return bits <= n1 + n2 - 2 * overlap
+
+
+def _items_may_differ(n1: Column, n2: Column, item1, item2, percent: int) -> Column:
+    """The same of items of several sets: bits that all sets of one have and none of the other differ between any two."""
+    apart = lambda x, y, b: x(f"all_{b}").bitwiseAND(F.bitwise_not(y(f"any_{b}")))
+    bits = sum((F.bit_count(apart(item1, item2, b).bitwiseOR(apart(item2, item1, b))) for b in BITS), F.lit(0))
     overlap = F.ceil((n1 + n2) * percent / (100 + percent) - 1e-9)
     return bits <= n1 + n2 - 2 * overlap
 
@@ -122,9 +133,8 @@ class _Join:
 
     def __init__(self, docs: DataFrame, size: int, percent: int) -> None:
         self.docs, self.size, self.percent = docs, size, percent
-        bits = [f"b{i}" for i in range(SKETCH)]
-        sets = materialise(add_columns(docs, ["doc_id"], "text", "n bigint, below bigint, mark binary, part array<bigint>, " + ", ".join(f"{b} bigint" for b in bits), _first_part(size, percent)), "sets")
-        classes = sets.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", "below", "part", *bits)])
+        sets = materialise(add_columns(docs, ["doc_id"], "text", "n bigint, below bigint, mark binary, part array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS), _first_part(size, percent)), "sets")
+        classes = sets.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in ("n", "below", "part", *BITS)])
         self.classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
         self.sets = materialise(sets.select("doc_id", "n", "mark"), "sizes")
         discard(sets)
@@ -154,101 +164,98 @@ class _Join:
         return materialise(found.groupBy("class").agg(F.first("tokens").alias("tokens")), "whole")
 
     def verify(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link."""
-        left, right = whole.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), whole.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
+        """The pairs (a, b) of classes that link. Only sets that a pair needs are moved."""
+        pairs = materialise(pairs.distinct(), "pairs")
+        needed = materialise(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "needed")
+        own = whole.join(needed, "class", "left_semi")
+        left, right = own.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), own.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb")).cast("bigint")
-        return pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+        return materialise(pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ta") + F.size("tb") - both)).select("a", "b"), "links")
 
-    def components(self) -> DataFrame | None:
-        """(node, root) over linked classes, None if there is no link."""
+    def components(self) -> DataFrame:
+        """(node, root) of all classes that share a prefix's shingle with another; the root is the smallest class of the component."""
         prefixes = materialise(self.prefixes(), "prefixes")
         groups = prefixes.groupBy("n", "prefix").agg(F.min("class").alias("group"), F.min("alone").alias("alone"))
         groups = materialise(groups, "groups")
-        bits = [f"b{i}" for i in range(SKETCH)]
         members = prefixes.join(groups.select("n", "prefix", "group"), ["n", "prefix"]).select("class", "group", "n")
-        members = materialise(members.join(self.classes.select("class", *bits), "class"), "members")
-        postings = groups.select("group", "n", F.posexplode("prefix").alias("at", "token"), "alone").select("token", "group", "n", (F.col("at") + F.col("alone")).alias("at"))
-        postings = materialise(postings, "postings")
+        members = materialise(members.join(self.classes.select("class", *BITS), "class"), "members")
+        postings = groups.select("group", "n", F.posexplode("prefix").alias("i", "token"), "alone", "prefix")
+        before = F.when(F.col("i") <= FIRST, F.slice("prefix", F.lit(1), F.col("i"))).otherwise(F.array().cast("array<bigint>"))
+        postings = materialise(postings.select("token", "group", (F.col("i") + F.col("alone")).alias("at"), before.alias("before")), "postings")
         whole = self.whole_sets(members)
-        pairs = self._pivots(postings.withColumn("class", F.col("group")).withColumn("root", F.col("group")), 0)
-        pairs = pairs.unionByName(members.where("class <> group").select(F.col("group").alias("a"), F.col("class").alias("b")))
-        edges = materialise(self.verify(pairs.distinct(), whole), "links")
-        last = math.inf
-        for turn in range(1, PIVOT_ROUNDS + 2):
-            roots = connected(edges) if edges.head(1) else None
-            items = members.withColumn("root", F.col("class")) if roots is None else members.join(roots, members["class"] == roots["node"], "left").select("class", "group", "n", F.coalesce("root", "class").alias("root"), *bits)
-            items = materialise(items, "items")
-            # an item of a posting: the members of a group that lie in one component
-            listed = postings.select("token", "group", "at").join(items.groupBy("group", "n", "root").agg(F.min("class").alias("class"), F.count("*").alias("size"), *[F.min(b).alias(b) for b in bits]), "group")
-            listed = materialise(listed, "listed")
-            per_root = listed.groupBy("token", "root").agg(F.count("*").alias("m"))
-            per_token = per_root.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
-            open_tokens = materialise(per_token, "open")
-            left = (open_tokens.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("same")) / 2)).first()[0] or 0.0)
-            if not left:
-                break
-            listed = listed.join(open_tokens.select("token"), "token", "left_semi")
-            if turn <= PIVOT_ROUNDS and left > 2 * items.count() + 10_000 and left < 0.7 * last:
-                last = left
-                more = self.verify(self._pivots(listed, turn).distinct(), whole)
-            else:
-                more = self.verify(self._across(listed, items), whole)
-                turn = PIVOT_ROUNDS + 1
-            more = materialise(more, "links")
-            if more.head(1):
-                # of the components so far only their roots matter: each node with its root, and the pairs of roots that a link joins
-                ends = items.select("class", "root").distinct()
-                joined = more.join(ends.select(F.col("class").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("class").alias("b"), F.col("root").alias("rb")), "b")
-                stars = items.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b"))
-                edges = materialise(stars.unionByName(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()), "links")
-            if turn > PIVOT_ROUNDS:
-                break
-        return connected(edges) if edges.head(1) else None
-
-    def _pivots(self, items: DataFrame, seed: int) -> DataFrame:
-        """(a, b): each item of a posting with the pivot of the posting among items of about its size, if that lies in another component."""
+        items = members.withColumn("root", F.col("class"))
+        # each group's members with its first one: copies that differ in few shingles, all of them beyond the prefix
+        firsts = members.where("class <> group").select("group", "class", "n", *BITS).join(members.where("class = group").select(F.col("group"), *[F.col(b).alias(f"f_{b}") for b in BITS]), "group")
+        edges = firsts.where(_may_differ(F.col("n"), F.col("n"), F.col, lambda b: F.col(f"f_{b}"), self.percent)).select(F.col("group").alias("a"), F.col("class").alias("b"))
+        for turn in range(PIVOT_ROUNDS):
+            pairs = self._pivots(self._listed(postings.drop("before"), items), turn)
+            items = self._joined(items, self.verify(pairs if turn else pairs.unionByName(edges), whole))
+        items = self._joined(items, self.verify(self._across(self._listed(postings, items), items), whole))
+        return items.select(F.col("class").alias("node"), "root")
+
+    def _joined(self, items: DataFrame, links: DataFrame) -> DataFrame:
+        """items with the roots that links between classes (a, b) leave. Of components so far only their roots matter."""
+        if not links.head(1):
+            return items
+        ends = items.select("class", "root")
+        edges = links.join(ends.select(F.col("class").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("class").alias("b"), F.col("root").alias("rb")), "b")
+        roots = connected(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return materialise(items.join(roots, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "items")
+
+    def _listed(self, postings: DataFrame, items: DataFrame) -> DataFrame:
+        """Postings of more than one component: token and its items (group, root), the members of a group that lie in one component, with the bits that all or any of them have; major tells whether the root is the posting's most frequent one."""
+        alike = [F.bit_and(b).alias(f"all_{b}") for b in BITS] + [F.bit_or(b).alias(f"any_{b}") for b in BITS]
+        listed = materialise(postings.join(items.groupBy("group", "n", "root").agg(F.min("class").alias("class"), *alike), "group"), "listed")
+        per_root = listed.groupBy("token", "root").agg(F.count("*").alias("m"))
+        most = per_root.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        most = most.select("token", F.col("most.root").alias("major"))
+        return materialise(listed.join(most, "token").withColumn("major", F.col("root") == F.col("major")), "open")
+
+    def _pivots(self, listed: DataFrame, seed: int) -> DataFrame:
+        """(a, b): each item of a posting with those of the posting's PIVOTS pivots of about its size that lie in other components and may link."""
         band = F.floor(F.log(F.col("n").cast("double")) / 0.2 + 0.5 * seed)  # the bounds between bands move from round to round
-        keyed = items.withColumn("band", band)
-        if seed:
-            # near copies mostly agree in any eight bits of their sketches, others seldom: a pivot for each value of some bits
-            bits = F.expr(f"shiftrightunsigned(b{seed % SKETCH}, CAST(token % 7 * 8 AS INT))").bitwiseAND(255)
-            keyed = keyed.withColumn("band", F.struct("band", bits.alias("bits")))
-        # some copies have too many edits to be good pivots, so later rounds take up to eight for the same family, dealt by token
+        keyed = listed.withColumn("band", band)
+        # some copies have too many edits to be good pivots, so the same family takes others at other tokens
         turn = F.xxhash64(F.lit(seed), F.col("class"), F.col("token") % (8 if seed else 1))
-        pivot = keyed.groupBy("token", "band").agg(F.min(F.struct(turn.alias("turn"), F.col("class").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))).alias("pivot"))
-        joined = keyed.join(pivot, ["token", "band"]).where((F.col("root") != F.col("pivot.proot")) & _may_link(F.col("n"), F.col("pivot.pn"), self.percent))
-        return joined.select(F.least("class", "pivot.p").alias("a"), F.greatest("class", "pivot.p").alias("b"))
+        held = ["class", "n", "root", *[f"{k}_{b}" for k in ("all", "any") for b in BITS]]
+        first = keyed.groupBy("token", "band", F.pmod(turn, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(turn.alias("turn"), *held)).alias("pivot"))
+        pivots = first.groupBy("token", "band").agg(F.collect_list("pivot").alias("pivots"))  # at most one for each slot
+        fits = lambda p: (F.col("root") != p["root"]) & _may_link(F.col("n"), p["n"], self.percent) & _items_may_differ(F.col("n"), p["n"], F.col, lambda c: p[c], self.percent)
+        near = keyed.join(pivots, ["token", "band"]).select("class", F.explode(F.filter("pivots", fits)["class"]).alias("p"))
+        return near.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b"))
 
     def _across(self, listed: DataFrame, items: DataFrame) -> DataFrame:
-        """(a, b): all pairs of members of the items of a posting that lie in different components and pass the size and position filters."""
-        one, two = listed.alias("x"), listed.alias("y")
+        """(a, b): the pairs of members of a posting's items that lie in different components and pass the filters of size, position and sketch.
+
+        Of two items one isn't in the posting's most frequent component, so only these are held against the rest. The band
+        of sizes is part of the key. A pair is made at the first token that the two prefixes share (and at any that stands
+        behind FIRST others).
+        """
+        band = F.floor(F.log(F.col("n").cast("double")) / max(math.log(100 / self.percent) * (1 + 1e-9), 1e-3))  # sizes that may link are one band apart at most
+        one = listed.where("NOT major").withColumn("band", band).alias("x")
+        two = listed.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("y")
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
         overlap = F.ceil((x("n") + y("n")) * self.percent / (100 + self.percent) - 1e-9)
         after = F.least(x("n") - x("at"), y("n") - y("at"))
-        order = (x("group") < y("group")) | ((x("group") == y("group")) & (x("root") < y("root")))
-        like = (x("size") > 1) | (y("size") > 1) | _may_differ(x("n"), y("n"), x, y, self.percent)
-        near = one.join(two, (x("token") == y("token")) & order & (x("root") != y("root")) & _may_link(x("n"), y("n"), self.percent) & (after >= overlap) & like)
+        order = y("major") | (x("group") < y("group")) | ((x("group") == y("group")) & (x("root") < y("root")))
+        like = _may_link(x("n"), y("n"), self.percent) & (after >= overlap) & _items_may_differ(x("n"), y("n"), x, y, self.percent) & ~F.arrays_overlap(x("before"), y("before"))
+        near = one.join(two, (x("token") == y("token")) & (x("band") == y("band")) & (x("root") != y("root")) & order & like)
         near = near.select(x("group").alias("g"), x("root").alias("r"), y("group").alias("h"), y("root").alias("s")).distinct()
-        bits = [f"b{i}" for i in range(SKETCH)]
-        side = lambda g, r, c, p: items.select(F.col("group").alias(g), F.col("root").alias(r), F.col("class").alias(c), F.col("n").alias(f"{p}n"), *[F.col(b).alias(f"{p}{b}") for b in bits])
+        side = lambda g, r, c, p: items.select(F.col("group").alias(g), F.col("root").alias(r), F.col("class").alias(c), F.col("n").alias(f"{p}n"), *[F.col(b).alias(f"{p}{b}") for b in BITS])
         left, right = side("g", "r", "a", "l"), side("h", "s", "b", "r_")
         first = near.join(left, ["g", "r"])
         like = _may_differ(F.col("ln"), F.col("r_n"), lambda c: F.col(f"l{c}"), lambda c: F.col(f"r_{c}"), self.percent)
-        pairs = first.join(right, (first["h"] == right["h"]) & (first["s"] == right["s"]) & like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return pairs.distinct()
+        return first.join(right, (first["h"] == right["h"]) & (first["s"] == right["s"]) & like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def link_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach). Two documents link if 100 * intersection >= percent * union of their sets of size-word shingles, words lower-cased in A-Z."""
     run = _Join(docs, size, percent)
     roots = run.components()
-    if roots is None:
-        labelled = run.classes.select("mark", F.col("first_doc").alias("component_id"))
-    else:
-        placed = run.classes.select("class", "mark", "first_doc").join(roots, F.col("class") == F.col("node"), "left").select("mark", "first_doc", F.coalesce("root", "class").alias("root"))
-        placed = materialise(placed, "placed")
-        tops = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-        labelled = placed.join(tops, "root").select("mark", "component_id")
+    placed = run.classes.select("class", "mark", "first_doc").join(roots, F.col("class") == F.col("node"), "left").select("mark", "first_doc", F.coalesce("root", "class").alias("root"))
+    placed = materialise(placed, "placed")
+    tops = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    labelled = placed.join(tops, "root").select("mark", "component_id")
     sizes = run.sets.select("doc_id", "n", "mark")
     # one row per set; copies of a set may be many, so its hot keys go by broadcast
     from talkscale.llm.common import join_by_hot_key

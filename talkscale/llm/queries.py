@@ -80,7 +80,7 @@ n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
 e AS (SELECT doc_id, unnest(s) AS g FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
-r(doc_id, at) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at)
-SELECT n.doc_id, n.n AS n_shingles, min(r.at) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node)
+SELECT n.doc_id, n.n AS n_shingles, min(r.node) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
 """,
 }

@@ -354,3 +354,18 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     got = out.collect()
     assert out.columns == docs.columns and collections.Counter((r.doc_id is None, r.doc_id or 0) for r in got) == want
     assert {"a", "c", "g", "h", "i"} < {r.key for r in got} and len({"d", "e"} & {r.key for r in got}) == 1
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    where, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {table} AS FROM '{where}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, where)
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    place = [want.columns.index(c) for c in got.columns]
+    rows = lambda found: collections.Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in found)
+    assert rows(map(tuple, got.collect())) == rows([tuple(r[i] for i in place) for r in want.fetchall()])
