@@ -29,9 +29,9 @@ from talkscale.llm import kernels
 from talkscale.llm.common import materialise
 
 WORDS, CLASS, HIDDEN, KNOWN = 4096, 64, 16, 262_144
-BPTT, BATCH, ROUNDS, TRAINER_DOCS, TRAINER_TOKENS, RATE = 32, 32, 3, 4000, 8_000_000, 0.1
+BPTT, BATCH, ROUNDS, TRAINER_DOCS, TRAINER_TOKENS, RATE = 32, 192, 3, 4000, 8_000_000, 0.2
 START, END = 1, 2
-FAN, CHUNK = 16, 16
+FAN, CHUNK = 16, 32
 
 Model = dict[str, np.ndarray]
 
@@ -149,12 +149,12 @@ class Net:
         order = np.argsort(-lengths, kind="stable")
         size, begin = lengths[order], starts[order]
         h, before = np.zeros((len(order), HIDDEN), np.float32), np.full(len(order), self.m + 1)
-        total, t = np.zeros(len(order)), 0
+        total, t, falling = np.zeros(len(order)), 0, -size
         while len(size) and t < size[0]:
-            active = int(np.searchsorted(-size, -t))
+            active = int(np.searchsorted(falling, -t))
             states, wanted, rows = [], [], []
             for t in range(t, t + max(16, min(1024, 65_536 // active))):  # noqa: B020
-                k = int(np.searchsorted(-size, -t))
+                k = int(np.searchsorted(falling, -t))
                 if not k:
                     break
                 h[:k] = self.step(before[:k], h[:k])
