@@ -14,9 +14,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
+    """The folder that the driver and all executors share. Where the session names none, a folder of the driver's machine, but only if all tasks run there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='talkscale-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

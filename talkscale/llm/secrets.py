@@ -15,7 +15,8 @@ from talkscale.llm.spans import digest, find_spans
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "key", "prefixed"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: Owners from which on a value counts as a copied example.
+#: Owners from which on a value counts as a copied example. Two may share one live credential (a fork, a mirror, a company's
+#: two accounts); for a third the likeliest cause is a text that all copied.
 EXAMPLE_OWNERS = 3
 
 
@@ -49,18 +50,19 @@ def find_candidates(docs: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, repo: str = "source", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per document: doc_id and found: array of (start, rank, end, kind, value, repos, owners, live)."""
+    """One row per document: doc_id and found: array of (start, rank, end, kind, hash, repos, owners, live). Only hashes (SHA-256) of credentials are written or returned; the span gives the place of the text itself. Repeated rows are rows of their own and one owner's; other columns of docs, whatever their names, aren't read."""
     named = docs.select("doc_id", F.col(repo).alias("repo"), F.col(owner).alias("owner"), "text")
-    rows = materialise(find_candidates(named).withColumn("row", F.monotonically_increasing_id()), "candidates")
-    each = rows.select("row", "repo", "owner", F.explode("found").alias("f")).select("row", "repo", "owner", "f", F.sha2("f.value", 256).alias("hash"))
+    hashed = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("hash")))
+    rows = materialise(find_candidates(named).withColumn("found", hashed).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    each = rows.select("row", "repo", "owner", F.explode("found").alias("f")).select("row", "repo", "owner", "f", "f.hash")
     each = materialise(each, "hashes")
     spread = each.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
     held = spread.groupBy("hash").agg(F.sum("n").alias("uses"), F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
     held = materialise(held, "held")
     judged = join_by_hot_key(each, held, "hash", "uses", F.col("row"), each.count())
-    found = judged.select("row", F.struct("f.start", "f.rank", "f.end", "f.kind", "f.value", "repos", "owners", (F.col("owners") < example_owners).alias("live")).alias("f"))
+    found = judged.select("row", F.struct("f.start", "f.rank", "f.end", "f.kind", "f.hash", "repos", "owners", (F.col("owners") < example_owners).alias("live")).alias("f"))
     per_row = found.groupBy("row").agg(F.array_sort(F.collect_list("f")).alias("judged"))
-    return rows.join(per_row, "row", "left").select("doc_id", F.coalesce("judged", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,repos:bigint,owners:bigint,live:boolean>>")).alias("found"))
+    return rows.join(per_row, "row", "left").select("doc_id", F.coalesce("judged", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,hash:string,repos:bigint,owners:bigint,live:boolean>>")).alias("found"))
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:

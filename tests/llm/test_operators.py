@@ -369,3 +369,99 @@ def test_queries_against_sql(spark, name):
     place = [want.columns.index(c) for c in got.columns]
     rows = lambda found: collections.Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in found)
     assert rows(map(tuple, got.collect())) == rows([tuple(r[i] for i in place) for r in want.fetchall()])
+
+
+STORIES = {
+    "it": "Il presidente della regione ha annunciato ieri che la costruzione del nuovo ospedale partirà entro la fine di questo anno, dopo che il consiglio ha approvato i fondi necessari. ",
+    "ru": "Президент области вчера объявил, что строительство новой больницы начнётся до конца этого года после того, как совет утвердил необходимые средства на проект. ",
+    "he": "ראש העיר הודיע אתמול כי בניית בית החולים החדש תתחיל עד סוף השנה לאחר שהמועצה אישרה את התקציב הדרוש לביצוע הפרויקט הגדול הזה בעיר שלנו. ",
+    "zh": "市长昨天宣布新医院的建设将在今年年底之前开始因为市议会已经批准了这个项目所需要的全部资金居民们对此表示欢迎并希望工程能够顺利完成。",
+    "en": "This is the story of a man who was in the house and he had not been there for so long that they did not know him at all. ",
+    "de": "Der Mann, der in dem Haus war, hatte es so lange nicht gesehen, dass die Leute dort ihn nicht mehr kannten und er sie auch nicht. ",
+    "fr": "Le maire de la ville a dit que les travaux sur le pont ne sont pas finis et que les habitants ne peuvent pas encore le passer. ",
+    "es": "El alcalde de la ciudad ha dicho que las obras en el puente no han terminado y que los vecinos no pueden pasar por el todavía. ",
+    "tr": "Belediye başkanı dün yeni hastanenin inşaatına bu yılın sonuna kadar başlanacağını, meclisin gerekli bütçeyi onayladığını ve çalışmaların hızla süreceğini açıkladı. ",
+}
+
+
+@pytest.mark.parametrize("language", sorted(STORIES))
+def test_html_in_many_languages(language):
+    story = STORIES[language] * 3
+    page = f"<nav><a href=/>x y</a></nav><div><p>{story}</p><p>{story}</p></div><ul><li><a href=/>{story[:30]}</a></li></ul><footer>{story}</footer>"
+    assert html.main_text(page) == " ".join([story.strip()] * 2)
+    for names in ("content widget", "post share", "main search", "story alert"):
+        assert html.main_text(f"<div class='{names}'><p>{story}</p><p>{story}</p><a href=/>x</a></div>") == " ".join([story.strip()] * 2)
+    assert html.main_text(f"<p>{story}</p><div class='comments'><p>{story}</p></div><div class=widget><p>{story}</p></div>") == story.strip()
+
+
+def test_html_is_linear_on_broken_markup():
+    import time
+
+    for part in ("<a", "<a ", "<a '", '<a "', "<!", "</script", "<a x="):
+        for end in ("", ">"):
+            began = time.process_time()
+            html.main_text(part * (1_000_000 // len(part)) + end)
+            html.main_text("<script>" + part * (1_000_000 // len(part)) + end)
+            assert time.process_time() - began < 6, (part, end)
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (2, "v", "", "y"), (None, None, f"<p>{STORIES['en'] * 3}</p>", None)], "page_id int, url string, html string, text string")
+    want = [(1, "u", "", 0), (1, "u", "", 0), (2, "v", "", 0), (None, None, (STORIES["en"] * 3).strip(), len((STORIES["en"] * 3).strip()))]
+    assert sorted(map(tuple, html.extract_main_text(pages).collect()), key=repr) == sorted(want, key=repr)
+    assert html.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_html_pages_against_a_parser(spark):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        """The blocks of article elements; the test table's pages hold nothing else of the text."""
+
+        def __init__(self):
+            super().__init__()
+            self.depth, self.parts = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.parts[-1] += " " * (tag == "br")
+            if tag in ("p", "h1", "article"):
+                self.parts.append("")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            self.parts[-1] += data * (self.depth > 0)
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    whole = same = 0
+    for r, got in zip(sorted(rows.collect()), sorted(html.extract_main_text(rows).collect()), strict=True):
+        parser = Article()
+        parser.feed(r.html or "")
+        blocks = [" ".join(x.split()) for x in parser.parts]
+        assert set(re.findall(r"\S+", got.text)) <= set(re.findall(r"\S+", " ".join(blocks)))
+        whole, same = whole + len(" ".join(x for x in blocks if x)), same + got.n_chars
+    assert same > 0.8 * whole
+
+
+def test_context_decides(spark):
+    texts = {
+        "my ssn is 123-45-6789 ok": "ssn:10:21", "part no. 123-45-6789 ok": "", "ssn 000-45-6789": "", "born on 12.03.1980 in": "birth:8:18", "on 12.03.1980 in": "",
+        "call 555-123-4567 now": "national:5:17", "order 555-123-4567 now": "", "iban GB82WEST12345698765432": "iban:5:27", "for example GB82WEST12345698765432": "", "an example iban GB82WEST12345698765432": "iban:16:38",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data_digest(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_secret_values_are_not_written(spark):
+    import glob
+
+    value = "tops3cretvalue/" + "q" * 20
+    docs = spark.createDataFrame([(i, f"password={value}", f"s{i % 2}", "x") for i in range(5)], "doc_id int, text string, source string, hash string")
+    found = secrets.scan_secrets(docs).collect()
+    assert {(f.hash, f.owners, f.live) for r in found for f in r.found} == {(hashlib.sha256(value.encode()).hexdigest(), 2, True)}
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    tables = [*glob.glob(f"{root}/talkscale/candidates-*"), *glob.glob(f"{root}/talkscale/hashes-*")]
+    assert tables and all(value not in repr(spark.read.parquet(t).collect()) for t in tables)
