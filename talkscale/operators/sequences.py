@@ -11,12 +11,6 @@ def with_context(turns: DataFrame, protocol: str, turn: str, text: str) -> DataF
     return turns.withColumn("context", F.lag(text, 1, "").over(Window.partitionBy(protocol).orderBy(turn)))
 
 
-def group_turns(rows: DataFrame, protocol: str, turn: str, sent: str, text: str, carried: list[str]) -> DataFrame:
-    """Turns from sentences: text in order without blank sentences; other fields from the first sentence."""
-    parts = F.transform(F.array_sort(F.collect_list(F.when(F.trim(text) != "", F.struct(sent, text)))), lambda x: x[text])
-    return rows.groupBy(protocol, turn).agg(F.array_join(parts, " ").alias(text), F.count("*").alias("n_sentences"), *[F.min_by(c, sent).alias(c) for c in carried])
-
-
 def speech_sessions(turns: DataFrame, protocol: str, turn: str, key: list[str], words: Column, limit: int) -> DataFrame:
     """Number the speeches of each key in a protocol: a key's next turn goes on with its speech unless another key had a turn of limit words or more in between."""
     order = Window.partitionBy(protocol).orderBy(turn)

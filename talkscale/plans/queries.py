@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkscale.functions import text as tx
 from talkscale.operators import cutting, lookups, planning, sampling, sequences, summaries
 from talkscale.plans import estimate
+from talkscale.settings import SETTINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,7 +89,7 @@ r AS (SELECT year, l_suppkey, sum((wy - ybar*w)**2) AS rr FROM c JOIN m USING (y
 SELECT year, l_suppkey, n_speeches, n_sittings, round(ybar, 6) AS estimate, round(CASE WHEN n_sittings >= 2 THEN sqrt(n_sittings/(n_sittings-1)*rr)/s0 END, 6) AS se, n_speeches >= 3 AND n_sittings >= 3 AS sufficient FROM m JOIN r USING (year, l_suppkey)""")
 def est_members_year(spark, sf_dir):
     m = estimate.members(estimate.cells(speeches(spark, sf_dir), ["year", "l_suppkey"], "sitting"), ["year", "l_suppkey"])
-    return rounded(m.select("year", "l_suppkey", "n_speeches", "n_sittings", F.col("ybar").alias("estimate"), F.sqrt("cr").alias("se"), ((F.col("n_speeches") >= 3) & (F.col("n_sittings") >= 3)).alias("sufficient")))
+    return rounded(m.select("year", "l_suppkey", "n_speeches", "n_sittings", F.col("ybar").alias("estimate"), F.sqrt("cr").alias("se"), estimate.member_sufficient().alias("sufficient")))
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN l_tax * 12.5 >= 0.5 THEN l_quantity ELSE 0 END AS eff FROM lineitem)
@@ -490,8 +491,10 @@ def hand_check_rate(spark, sf_dir):
 
 def bootstrap_se(spark, sf_dir):
     """Bootstrap errors of nations by year; random, so only rows can be compared."""
-    c = estimate.cells(speeches(spark, sf_dir), ["year", "l_suppkey", "n_name"], "sitting")
-    return estimate.bootstrap(c, ["year"], ["l_suppkey"], "n_name", replicates=200)
+    keys = ["year", "l_suppkey", "n_name"]
+    c = estimate.once(estimate.cells(speeches(spark, sf_dir), keys, "sitting"), "cells")
+    out = estimate.bootstrap(c, ["year"], keys, {"n_name": "n_name"}, replicates=SETTINGS.replicates)
+    return out.select("year", F.col("actor_id").alias("n_name"), "se_boot")
 
 
 QUERIES["bootstrap_se"] = bootstrap_se

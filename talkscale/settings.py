@@ -10,6 +10,7 @@ class Settings:
     gate: float = 0.5
     member_speeches: int = 3
     member_sittings: int = 3
+    member_max_se: float | None = None
     group_speeches: int = 5
     group_sittings: int = 5
     max_se: float = 0.60
