@@ -24,13 +24,3 @@ def sentences(text: Column) -> Column:
     """Split after . ? ! and at line ends; a final full stop goes, empty parts too."""
     parts = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.regexp_replace(F.trim(s), r"\.+$", ""))
     return F.filter(parts, lambda s: s != "")
-
-
-def hash_draw(key: Column) -> Column:
-    """A number in [0, 1) from a text's SHA-256, the same in any engine."""
-    return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
-
-
-def round_count(n: Column) -> Column:
-    """A count rounded half to even for display: thousands above 10,000, else hundreds above 1,000."""
-    return F.when(n >= 10_000, F.bround(n / 1000) * 1000).when(n >= 1000, F.bround(n / 100) * 100).otherwise(n.cast("double"))

@@ -1,12 +1,10 @@
-"""The question layer: what to ask of which text, request packing, a deterministic stand-in for the model, and checks of answers."""
+"""The question layer: what to ask of which text, request packing, and checks of answers' columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkscale.functions.text import hash_draw
-
 
 def plan_questions(units: DataFrame, questions: DataFrame, answered: DataFrame, unit: str, date: str) -> DataFrame:
     """Units times questions (a small table) that apply, minus what is answered for the same wording. An unknown date counts as too early."""
@@ -14,10 +12,6 @@ def plan_questions(units: DataFrame, questions: DataFrame, answered: DataFrame,
     return asked.join(answered.select(unit, "qid", "prompt_hash"), [unit, "qid", "prompt_hash"], "left_anti")
 
 
-def tokens(chars: Column, ratio: float = 4.0) -> Column:
-    return F.ceil(chars / ratio)
-
-
 def layers(asked: DataFrame, text_key: str) -> DataFrame:
     """A question worded in two ways for one text goes to different requests."""
     return asked.withColumn("layer", F.dense_rank().over(Window.partitionBy(text_key, "qid").orderBy("prompt_hash")))
@@ -28,12 +22,6 @@ def distinct_texts(df: DataFrame, text: str, order: str) -> DataFrame:
     return df.groupBy(F.sha2(text, 256).alias("text_hash")).agg(F.min(order).alias(f"first_{order}"), F.count("*").alias("n"))
 
 
-def mock_answers(pending: DataFrame, text: Column, levels: int = 5) -> DataFrame:
-    """Answers fixed by the hash of text and question."""
-    draw = lambda salt: hash_draw(F.concat_ws("|", text, F.col("qid"), F.lit(salt)))
-    return pending.withColumn("noul", draw("gate")).withColumn("score", F.floor(draw("score") * levels).cast("double"))
-
-
 def answer_problem(kind: str = "type", levels: int = 5) -> Column:
     """Why an answer is refused, or null."""
     in_range = lambda c, top: F.col(c).isNotNull() & ~F.isnan(c) & F.col(c).between(0, top)

@@ -455,16 +455,6 @@ def question_plan_layers(spark, sf_dir):
     return planning.layers(_plan(spark, sf_dir), "unit").withColumn("layer", F.col("layer").cast("bigint"))
 
 
-def _draw_sql(salt: str) -> str:
-    return f"CAST(concat('0x', substr(sha256(concat_ws('|', CAST(unit AS VARCHAR), qid, '{salt}')), 1, 13)) AS BIGINT) / 4503599627370496.0"
-
-
-@query(f"WITH {PLAN}, m AS (SELECT *, {_draw_sql('gate')} AS noul, floor({_draw_sql('score')} * 5) AS score FROM p) SELECT qid, score, count(*) AS n, round(avg(noul), 6) AS noul FROM m GROUP BY ALL")
-def mock_answers(spark, sf_dir):
-    m = planning.mock_answers(_plan(spark, sf_dir), F.col("unit").cast("string"))
-    return rounded(m.groupBy("qid", "score").agg(F.count("*").alias("n"), F.avg("noul").alias("noul")))
-
-
 @query("WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'noul' WHEN 'view' THEN 'score' ELSE 'odd' END AS type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 400 END AS noul, value / 100 AS score FROM events) SELECT event_id, CASE WHEN type = 'odd' THEN 'unknown type' WHEN type = 'noul' AND (noul IS NULL OR noul > 1) THEN 'bad noul' WHEN type = 'score' AND score > 4 THEN 'bad score' END AS problem FROM e")
 def answer_validation(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "noul").when(F.col("event_type") == "view", "score").otherwise("odd")
