@@ -170,7 +170,10 @@ class _Join:
         own = whole.join(needed, "class", "left_semi")
         left, right = own.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), own.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb")).cast("bigint")
-        return materialise(pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ta") + F.size("tb") - both)).select("a", "b"), "links")
+        links = materialise(pairs.join(left, "a").join(right, "b").where(100 * both >= self.percent * (F.size("ta") + F.size("tb") - both)).select("a", "b"), "links")
+        discard(pairs)
+        discard(needed)
+        return links
 
     def components(self) -> DataFrame:
         """(node, root) of all classes that share a prefix's shingle with another; the root is the smallest class of the component."""
@@ -188,9 +191,16 @@ class _Join:
         firsts = members.where("class <> group").select("group", "class", "n", *BITS).join(members.where("class = group").select(F.col("group"), *[F.col(b).alias(f"f_{b}") for b in BITS]), "group")
         edges = firsts.where(_may_differ(F.col("n"), F.col("n"), F.col, lambda b: F.col(f"f_{b}"), self.percent)).select(F.col("group").alias("a"), F.col("class").alias("b"))
         for turn in range(PIVOT_ROUNDS):
-            pairs = self._pivots(self._listed(postings.drop("before"), items), turn)
-            items = self._joined(items, self.verify(pairs if turn else pairs.unionByName(edges), whole))
-        items = self._joined(items, self.verify(self._across(self._listed(postings, items), items), whole))
+            listed = self._listed(postings.drop("before"), items)
+            pairs = self._pivots(listed, turn)
+            links = self.verify(pairs if turn else pairs.unionByName(edges), whole)
+            discard(listed)
+            items = self._joined(items, links)
+        listed = self._listed(postings, items)
+        links = self.verify(self._across(listed, items), whole)
+        for spent in (listed, postings, whole):
+            discard(spent)
+        items = self._joined(items, links)
         return items.select(F.col("class").alias("node"), "root")
 
     def _joined(self, items: DataFrame, links: DataFrame) -> DataFrame:
@@ -209,7 +219,9 @@ class _Join:
         per_root = listed.groupBy("token", "root").agg(F.count("*").alias("m"))
         most = per_root.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
         most = most.select("token", F.col("most.root").alias("major"))
-        return materialise(listed.join(most, "token").withColumn("major", F.col("root") == F.col("major")), "open")
+        still = materialise(listed.join(most, "token").withColumn("major", F.col("root") == F.col("major")), "open")
+        discard(listed)
+        return still
 
     def _pivots(self, listed: DataFrame, seed: int) -> DataFrame:
         """(a, b): each item of a posting with those of the posting's PIVOTS pivots of about its size that lie in other components and may link."""
