@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from talkscale.plans import queries as plans
-from talkscale.plans import asking, charts, reports, speech  # noqa: F401  register their queries
+from talkscale.plans import asking, charts, reports, speech, transcripts  # noqa: F401  register their queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
