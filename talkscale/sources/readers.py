@@ -67,3 +67,20 @@ def crosswalk(spark: SparkSession, path: str) -> DataFrame:
     day = lambda c: _text(c).try_cast("date").alias(c)
     rest = [c for c in df.columns if c not in ("date_from", "date_to")]
     return df.select(*rest, day("date_from"), day("date_to"), F.concat_ws(":", "ches_year", "ches_party_id").alias("party_wave"))
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(protocol_name, text): each file is one transcript in UTF-8, named without its ending."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("protocol_name"), F.col("value").alias("text"))
+
+
+def with_text_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """CSV with inferred types, but keys as the text that they are; for small tables, as it reads them twice."""
+    found = spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=True).schema
+    return csv(spark, path, T.StructType([T.StructField(f.name, T.StringType()) if f.name in keys else f for f in found]))
+
+
+def estimate_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The four tables that reports start from, by name; periods and actors are text."""
+    return {name: with_text_keys(spark, f"{folder}/{name}.csv", ["period", "actor_id"]) for name in ("group_scores", "mk_scores", "validation_points", "validation_summary")}

@@ -1,7 +1,10 @@
 """Readers, writers, the stream and the cutting operators."""
 
 import bz2
+import http.server
 import json
+import threading
+import urllib.error
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from talkscale.operators import cutting
 from talkscale.plans import queries as plans
-from talkscale.sources import readers, schemas, sinks
+from talkscale.sources import paged, readers, schemas, sinks
 from talkscale.streaming import answers as stream
 
 DIR = "/root/testdata/sf0.001"
@@ -119,3 +122,72 @@ def test_packs_hold_every_unit_once(spark):
     got = plans.pack_deal(spark, DIR)
     sizes = got.groupBy("l_suppkey", "year", "pack").agg(F.sum(F.substring_index("unit_id", "|", -1).cast("int")).alias("q"), F.count("*").alias("n"))
     assert sizes.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{DIR}/lineitem.parquet").count() and sizes.where("q + 2 * (n - 1) > 200").count() == 0
+
+
+def test_whole_texts_and_estimate_tables(spark, tmp_path):
+    (tmp_path / "a.1.txt").write_text("one\n\ntwo", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("שלום", encoding="utf-8")
+    assert sorted(map(tuple, readers.transcripts(spark, f"{tmp_path}/*.txt").collect())) == [("a.1", "one\n\ntwo"), ("b", "שלום")]
+    for name in ("group_scores", "mk_scores", "validation_points", "validation_summary"):
+        (tmp_path / f"{name}.csv").write_text("period,actor_id,estimate,sufficient\n07,031,1.5,true\n2021,,,\n", encoding="utf-8")
+    tables = readers.estimate_tables(spark, str(tmp_path))
+    assert len(tables) == 4
+    for t in tables.values():
+        assert t.dtypes == [("period", "string"), ("actor_id", "string"), ("estimate", "double"), ("sufficient", "boolean")]
+        assert sorted(map(tuple, t.collect())) == [("07", "031", 1.5, True), ("2021", None, None, None)]
+
+
+def test_paged_lists(spark, tmp_path):
+    pages = {"/api/L?$format=json": {"value": [{"id": 1, "name": "א"}, {"id": 2}], "odata.nextLink": "L?page=2"}, "/api/L?page=2&$format=json": {"value": [{"id": 3}]}}
+    asked = []
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            known = len(asked) > 1 and pages.get(self.path)  # the first request fails
+            self.send_response(200 if known else 503)
+            self.end_headers()
+            self.wfile.write(json.dumps(known).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/api/L"
+    read = lambda **more: sorted(map(tuple, paged.listing(spark, url, str(tmp_path / "l"), "id int, name string", pause="0", **more).collect()))
+    want = [(1, "א"), (2, None), (3, None)]
+    assert read() == want
+    n = len(asked)
+    assert read() == want and len(asked) == n  # from the store
+    assert read(refresh=True) == want and len(asked) > n
+    server.shutdown()
+
+
+def test_fetching():
+    slept, calls = [], []
+
+    def gone(url):
+        calls.append(url)
+        raise urllib.error.HTTPError(url, 404, "", None, None)
+
+    with pytest.raises(urllib.error.HTTPError):
+        paged.fetch("u", get=gone, sleep=slept.append)
+    assert len(calls) == 1 and not slept
+
+    def down(url):
+        raise ConnectionError
+
+    with pytest.raises(ConnectionError):
+        paged.fetch("u", tries=3, get=down, sleep=slept.append)
+    assert slept == [5.0, 10.0]
+    with pytest.raises(ValueError, match="twice"):
+        list(paged.items("http://h/L", "value", "next", "", lambda u: b'{"value": [], "next": "L"}'))
+    assert paged.address("http://h/a/L?x=1", "L?skip=2", "$format=json") == "http://h/a/L?skip=2&$format=json"
+
+
+def test_files_of_sittings(spark):
+    sessions = spark.createDataFrame([(1, "2024-02-05T16:00:00"), (2, "2024-02-01T00:00:00"), (3, "2024-02-06T00:00:00"), (4, None)], "PlenumSessionID int, StartDate string")
+    docs = [(1, 28, "x.doc", "2024-09-01"), (1, 28, "a.DOCX ", "2024-03-01"), (1, 28, "b.docx", None), (1, 5, "c.docx", "2025-01-01"), (2, 28, "d.docx", None), (3, 28, "", None), (3, 28, None, None), (4, 28, "e.doc", None)]
+    documents = spark.createDataFrame(docs, "PlenumSessionID int, GroupTypeID int, FilePath string, LastUpdatedDate string")
+    assert [(r.session_id, str(r.date), r.path) for r in paged.files_of_sittings(sessions, documents, "2024-02-01", 28).collect()] == [(1, "2024-02-05", "a.DOCX")]
