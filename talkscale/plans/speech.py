@@ -12,7 +12,7 @@ from talkscale.functions import display, names
 from talkscale.functions import text as tx
 from talkscale.operators import packs, sequences, units, validation
 from talkscale.operators import speech as sp
-from talkscale.plans import estimate
+from talkscale.plans import agreement, estimate
 from talkscale.plans.queries import QUERIES, SESSIONS, SPEECH, WORDS, _estimate_sql, _sessions, query, rounded, speeches, table
 from talkscale.settings import SETTINGS
 
@@ -252,12 +252,14 @@ def _waves(spark):
     return c.withColumn("party_wave", F.concat_ws(":", "ches_year", "ches_party_id"))
 
 
-EXPERT_SQL = "x AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS wave, 'p' || (o_custkey % 3 + 1) AS party, CASE WHEN o_orderpriority < '3' THEN 'lr' ELSE 'galtan' END AS scale, (o_orderkey % 11)::DOUBLE AS rating FROM orders WHERE o_totalprice > 300000), c AS (SELECT wave, party, scale, avg(rating) AS ches, count(*) AS n_experts FROM x GROUP BY ALL)"
+EXPERT_SQL = "x AS (SELECT wave, party, scale, avg(rating) AS rating FROM (SELECT CAST(year(o_orderdate) AS VARCHAR) AS wave, 'p' || (o_custkey % 3 + 1) AS party, CASE WHEN o_orderpriority < '3' THEN 'lr' ELSE 'galtan' END AS scale, (o_orderkey % 11)::DOUBLE AS rating, o_custkey % 20 AS expert FROM orders) GROUP BY wave, party, scale, expert), c AS (SELECT wave, party, scale, avg(rating) AS ches, count(*) AS n_experts FROM x GROUP BY ALL)"
 
 
 def _experts(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
-    return o.select(F.year("o_orderdate").cast("string").alias("ches_year"), F.concat(F.lit("p"), (F.col("o_custkey") % 3 + 1).cast("string")).alias("ches_party_id"), F.when(F.col("o_orderpriority") < "3", "lr").otherwise("galtan").alias("scale"), (F.col("o_orderkey") % 11).cast("double").alias("rating"))
+    """Twenty experts rate each party: one is the customers of one remainder, and rates by the mean of what their orders say."""
+    o = table(spark, sf_dir, "orders")
+    said = o.select(F.year("o_orderdate").cast("string").alias("ches_year"), F.concat(F.lit("p"), (F.col("o_custkey") % 3 + 1).cast("string")).alias("ches_party_id"), F.when(F.col("o_orderpriority") < "3", "lr").otherwise("galtan").alias("scale"), (F.col("o_orderkey") % 11).cast("double").alias("rating"), (F.col("o_custkey") % 20).alias("expert"))
+    return said.groupBy("ches_year", "ches_party_id", "scale", "expert").agg(F.avg("rating").alias("rating")).drop("expert")
 
 
 @query(f"WITH {EXPERT_SQL} SELECT wave AS ches_year, party AS ches_party_id, scale, round(ches, 6) AS ches, n_experts FROM c")
@@ -270,10 +272,14 @@ def _wave_frame(spark, sf_dir):
     return s.join(F.broadcast(_waves(spark)), (F.col("year").cast("string") == F.col("ches_year")) & (F.col("r_name") == F.col("region")))  # five windows
 
 
-def _wave_estimates(spark, sf_dir, replicates=0):
-    """Estimates of party-waves on both scales, the scale being a slice."""
-    s = _wave_frame(spark, sf_dir).select("*", F.explode(F.array(F.struct(F.lit("lr").alias("scale"), F.col("score").alias("value")), F.struct(F.lit("galtan").alias("scale"), (F.col("gate") * 10).alias("value")))).alias("v")).select("ches_year", "party_wave", "l_suppkey", "sitting", "weight", "v.scale", F.col("v.value").alias("score"))
-    return estimate.estimate_groups(s, ["scale", "ches_year"], ["l_suppkey"], "party_wave", "sitting", replicates=replicates)
+def _wave_speeches(spark, sf_dir):
+    """Speeches of party-waves on both scales, the scale being a slice."""
+    both = F.explode(F.array(F.struct(F.lit("lr").alias("scale"), F.col("score").alias("value")), F.struct(F.lit("galtan").alias("scale"), (F.col("gate") * 10).alias("value"))))
+    return _wave_frame(spark, sf_dir).select("*", both.alias("v")).select("ches_year", "party_wave", F.col("l_suppkey").alias("member"), "sitting", "weight", "v.scale", F.col("v.value").alias("score"))
+
+
+def _wave_estimates(spark, sf_dir):
+    return estimate.estimate_groups(_wave_speeches(spark, sf_dir), ["scale", "ches_year"], ["member"], "party_wave", "sitting")
 
 
 def _wave_sql(scale: str, value: str) -> str:
@@ -290,15 +296,15 @@ def party_wave_estimates(spark, sf_dir):
 @query(f"WITH e AS ({_wave_sql('lr', 'y')} UNION ALL {_wave_sql('galtan', 'gate * 10')}), {CROSS_SQL}, {EXPERT_SQL} SELECT e.scale, e.party_wave, w.cluster_id, e.estimate AS x, round(ches, 6) AS y, n_experts FROM e JOIN w ON w.wave || ':' || w.party = e.party_wave JOIN c ON c.wave = w.wave AND c.party = w.party AND c.scale = e.scale WHERE n_experts >= 3 AND e.sufficient")
 def validation_points(spark, sf_dir):
     """Party-waves with enough experts and enough speech; the scale is a key, so no scale has a plan of its own."""
-    cells = validation.expert_cells(_experts(spark, sf_dir), ["ches_year", "ches_party_id", "scale"], "rating")
-    p = validation.points(_wave_estimates(spark, sf_dir), _waves(spark), cells, SETTINGS.validation_experts)
+    p = agreement.run(_wave_speeches(spark, sf_dir), _waves(spark).withColumn("bloc", F.lit("x")), _experts(spark, sf_dir), replicates=0)[0]
     return rounded(p.select("scale", "party_wave", "cluster_id", F.col("estimate").alias("x"), F.col("ches").alias("y"), "n_experts"))
 
 
-@query("WITH w(place, party_wave, faction, bloc) AS (VALUES (1,'a:1','f2','x'), (2,'a:1','f1','y'), (3,'b:1','f3',NULL)) SELECT party_wave, min_by(faction, place) AS faction, coalesce(arg_min(CASE WHEN bloc IS NULL THEN 'other' ELSE bloc END, place), 'other') AS bloc FROM w GROUP BY 1")
+@query("SELECT c_mktsegment || ':' || c_nationkey AS party_wave, arg_min(c_name, c_custkey) AS faction, arg_min(CASE WHEN c_acctbal < 0 THEN 'other' ELSE c_mktsegment END, c_custkey) AS bloc FROM customer GROUP BY 1")
 def party_wave_first(spark, sf_dir):
-    """The bloc of the first faction that a crosswalk names."""
-    w = spark.createDataFrame([(1, "a:1", "f2", "x"), (2, "a:1", "f1", "y"), (3, "b:1", "f3", None)], "at int, party_wave string, faction string, bloc string")
+    """The bloc of the first faction that a crosswalk names: the customers of a nation's segment, in the order of their keys."""
+    c = table(spark, sf_dir, "customer")
+    w = c.select(F.col("c_custkey").alias("at"), F.concat_ws(":", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("party_wave"), F.col("c_name").alias("faction"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("bloc"))
     return validation.first_factions(w, "at", ["faction"], F.lit("other"))
 
 
@@ -312,11 +318,8 @@ def units_in_windows(spark, sf_dir):
 
 def validation_summary(spark, sf_dir):
     """r by scale with intervals from clusters, raters and the estimator's own replicates, and the blocs' floor; random, so only rows can be compared."""
-    cells = validation.expert_cells(_experts(spark, sf_dir), ["ches_year", "ches_party_id", "scale"], "rating")
-    p = validation.points(_wave_estimates(spark, sf_dir, 200), _waves(spark), cells, SETTINGS.validation_experts)
-    r = _experts(spark, sf_dir).groupBy("ches_year", "ches_party_id", "scale").agg(F.sort_array(F.collect_list("rating")).alias("ratings"))
-    p = p.join(r, ["ches_year", "ches_party_id", "scale"]).withColumn("bloc", F.lit("x"))
-    return rounded(validation.summary(p, "scale", "estimate", "se", "ches", "ratings", "cluster_id", "bloc", least_clusters=2))
+    waves = _waves(spark).withColumn("bloc", F.lit("x"))
+    return rounded(agreement.run(_wave_speeches(spark, sf_dir), waves, _experts(spark, sf_dir), least_clusters=2)[1])
 
 
 QUERIES["validation_summary"] = validation_summary
