@@ -42,8 +42,8 @@ def bracketed(part: Column) -> Column:
     return F.filter(F.array(F.regexp_replace(part, r"\([^)]*\)", ""), F.nullif(F.regexp_extract(part, r"\(([^)]*)\)", 1), F.lit(""))), lambda x: x.isNotNull())
 
 
-def with_variants(people: DataFrame, first: str, last: str) -> DataFrame:
-    """Add variants (full names), last_keys and first_keys: every spelling of the first name, and each of its words, with every spelling of the last."""
+def with_variants(people: DataFrame, first: str, last: str, aliases: str | None = None) -> DataFrame:
+    """Add variants (full names), last_keys and first_keys: every spelling of the first name, and each of its words, with every spelling of the last. Names in the array aliases are variants too."""
     words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
     df = people.withColumn("_id", F.monotonically_increasing_id())
     each = df.select("_id", F.explode(bracketed(F.coalesce(F.col(first), F.lit("")))).alias("f"), bracketed(F.coalesce(F.col(last), F.lit(""))).alias("ls")).select("_id", "f", F.explode("ls").alias("l"))
@@ -52,6 +52,10 @@ def with_variants(people: DataFrame, first: str, last: str) -> DataFrame:
     keys = keyed.groupBy("_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("l") != "", full))))).alias("variants"), F.array_sort(F.collect_set(F.nullif("l", F.lit("")))).alias("last_keys"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(words(F.col("f")))))).alias("first_keys")
     )
+    if aliases:
+        more = df.select("_id", F.explode(aliases).alias("x")).select("_id", name_key(F.col("x")).alias("x")).where("x <> ''").groupBy("_id").agg(F.collect_set("x").alias("_more"))
+        both = F.array_sort(F.array_union("variants", F.coalesce("_more", F.array().cast("array<string>"))))
+        keys = keys.join(more, "_id", "left").withColumn("variants", both).drop("_more")
     return df.join(keys, "_id").drop("_id")
 
 
@@ -71,6 +75,47 @@ def speaker_key(line: Column) -> tuple[Column, Column]:
 LIKE_FIRST, LEAD, LIKE_FULL = 0.75, 0.15, 0.84  # fixed values: likenesses that a match needs
 
 
+def grams(text: Column) -> Column:
+    """The pairs of letters of a text, each with the number of times that it was there before, so that none is there twice."""
+    pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def near_candidates(asked: DataFrame, known: DataFrame, like: float = LIKE_FULL) -> DataFrame:
+    """(a, b): the pairs of texts (column text of each) that may be like enough by ratio().
+
+    Of lengths with the sum s the likeness needs m = ceil(like * s / 2) letters in common blocks. Between two blocks stands a
+    letter outside of them, so there are at most s - 2m + 1 blocks, which hold m less that number of letter pairs: 3m - s - 1,
+    at least one for any like over 0.8 but for single letters. So lengths bound each other, and of each text only the pairs
+    of letters (rare ones first) that leave fewer than needed behind are looked up; then shared pairs are counted.
+    """
+    if not 0.8 < like <= 1:
+        raise ValueError("a likeness over 0.8 is needed")
+    short = like / (2 - like)  # of the longer length
+    lists = [df.where("text IS NOT NULL").select("text").distinct().withColumn("grams", grams(F.col("text"))) for df in (asked, known)]
+    common = lists[1].select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def first_grams(df: DataFrame, side: str) -> DataFrame:
+        n = F.length("text")
+        least = F.greatest(F.lit(1), F.ceil((1.5 * like - 1) * (n + F.ceil(short * n - 1e-9)) - 1 - 1e-9)).cast("int")
+        ranked = df.select("text", F.explode("grams").alias("gram")).join(common, "gram", "left").groupBy("text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))["gram"].alias("grams"))
+        kept = F.explode(F.slice("grams", F.lit(1), F.greatest(n - 1 - least + 1, F.lit(0))))
+        return ranked.select(F.col("text").alias(side), F.col("grams").alias(f"grams_{side}"), kept.alias("gram"))
+
+    one, two = first_grams(lists[0], "a"), first_grams(lists[1], "b")
+    s, low, high = F.length("a") + F.length("b"), F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    m = F.ceil(like / 2 * s - 1e-9)
+    near = one.join(two, "gram").where((low >= short * high - 1e-9) & (F.size(F.array_intersect("grams_a", "grams_b")) >= 3 * m - s - 1)).select("a", "b")
+    same = lists[0].select(F.col("text").alias("a")).join(lists[1].select(F.col("text").alias("b")), F.col("a") == F.col("b"))
+    return near.unionByName(same).distinct()
+
+
+def near_names(asked: DataFrame, known: DataFrame, like: float = LIKE_FULL) -> DataFrame:
+    """(a, b): the pairs of texts with a ratio() of like or more; an empty text is like none."""
+    both = F.pandas_udf(lambda a, b: pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
+    return near_candidates(asked, known, like).where(both("a", "b") >= like)
+
+
 def resolve(lines: DataFrame, people: DataFrame) -> DataFrame:
     """(key, date, party, person_id, how): the person that a speaker line names, null if none or several do.
 
@@ -82,7 +127,7 @@ def resolve(lines: DataFrame, people: DataFrame) -> DataFrame:
     asked = lines.select("key", "date", "party").distinct()
     words = F.filter(F.split("key", " "), lambda w: w != "")
     tails = asked.withColumn("w", words).select("key", "date", "party", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(6), F.size("w"))))).alias("k")).where(F.size("w") >= F.col("k"))
-    tails = tails.withColumn("tail", F.array_join(F.slice("w", F.size("w") - F.col("k") + 1, F.col("k")), " "))
+    tails = tails.withColumn("tail", F.array_join(F.slice("w", F.greatest(F.size("w") - F.col("k") + 1, F.lit(1)), F.col("k")), " "))
     held = ["key", "date", "party"]
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in held]
     in_office = F.coalesce(F.col("p.date_from") <= F.col("t.date"), F.lit(False)) & F.coalesce(F.col("t.date") <= F.col("p.date_to"), F.lit(False))
@@ -111,13 +156,11 @@ def resolve(lines: DataFrame, people: DataFrame) -> DataFrame:
     last = narrowed(last, ["own"]).withColumn("rank", F.row_number().over(w.orderBy(F.col("like").desc(), "person_id"))).withColumn("second", F.max(F.when(F.col("rank") == 2, F.col("like"))).over(w))
     last = last.where((F.col("rank") == 1) & (F.col("second").isNull() | ((F.col("like") >= LIKE_FIRST) & (F.col("like") - F.col("second") >= LEAD))))
     last = last.groupBy(*held).agg(F.max_by("person_id", "k").alias("person_id")).withColumn("how", F.lit("last name"))
-    # any name of those in office: a shared two-letter piece is asked first, so that not all pairs meet
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    # any name of those in office
     names = people.select("person_id", "date_from", "date_to", F.explode("variants").alias("name")).withColumn("plain", F.replace("name", F.lit(" "), F.lit(""))).withColumn("size", F.size(F.split("name", " ")))
     open_ = rest(rest(tails, exact), last).withColumn("joined", F.replace("tail", F.lit(" "), F.lit("")))
-    near = open_.withColumn("piece", F.explode(pieces(F.col("joined")))).alias("t").join(names.withColumn("piece", F.explode(pieces(F.col("plain")))).alias("p"), (F.col("t.piece") == F.col("p.piece")) & (F.abs(F.col("t.k") - F.col("p.size")) <= 1) & in_office)
-    near = near.select(*[F.col(f"t.{c}") for c in held], "joined", "plain", "person_id").distinct()
-    both = F.pandas_udf(lambda a, b: pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)]), "double")
-    near = near.where(both("joined", "plain") >= LIKE_FULL).groupBy(*held).agg(F.countDistinct("person_id").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").drop("n").withColumn("how", F.lit("like"))
+    pairs = near_names(open_.select(F.col("joined").alias("text")), names.select(F.col("plain").alias("text")))
+    near = open_.alias("t").join(pairs, F.col("t.joined") == F.col("a")).join(names.alias("p"), (F.col("b") == F.col("p.plain")) & (F.abs(F.col("t.k") - F.col("p.size")) <= 1) & in_office)
+    near = near.groupBy(*[F.col(f"t.{c}") for c in held]).agg(F.countDistinct("person_id").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").drop("n").withColumn("how", F.lit("like"))
     done = exact.unionByName(last).unionByName(near)
     return asked.alias("l").join(done.alias("r"), same("l", "r"), "left").select("l.*", "person_id", "how")

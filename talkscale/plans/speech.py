@@ -227,8 +227,8 @@ def names_keyed(spark, sf_dir):
 
 
 def names_resolved(spark, sf_dir):
-    """Parts' names as speaker lines, resolved to the first hundred brands' people; tested against plain Python."""
-    p = table(spark, sf_dir, "part").where("p_size < 20").groupBy("p_name").agg(F.min("p_partkey").alias("person_id"), F.min("p_size").alias("size"))
+    """Parts' names as speaker lines, resolved to the people that the distinct names stand for; tested against plain Python."""
+    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("person_id"), F.min("p_size").alias("size"))
     first, last = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
     people = names.with_variants(p.select(F.col("person_id").cast("string").alias("person_id"), (F.col("size") % 2 == 0).alias("is_mk"), F.lit("x").alias("party"), F.to_date(F.lit("1990-01-01")).alias("date_from"), F.to_date(F.lit("2030-01-01")).alias("date_to"), first.alias("first"), last.alias("last")), "first", "last")
     lines = table(spark, sf_dir, "part").select(names.name_key(F.concat(F.lit("the "), "p_name", F.lit(":"))).alias("key"), F.to_date(F.lit("2000-01-01")).alias("date"), F.lit(None).cast("string").alias("party"))

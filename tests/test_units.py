@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import random
 import textwrap
 import unicodedata
 import uuid
@@ -87,7 +88,12 @@ def test_sending(spark):
         return "ok"
 
     assert questions.send(busy, "x", sleep=slept.append) == (200, "ok", None) and slept == [300.0, 300.0]
-    assert questions.backoff(3, None, lambda: 0.0) == 4.0 and questions.backoff(10, None, lambda: 1.0) == 60.0 and questions.backoff(1, 7.0, lambda: 0.0) == 7.0
+    most = [min(60.0, 2.0**k) for k in range(12)]
+    for seed in range(20):
+        assert all(m / 2 <= w <= m for w, m in zip(questions.waits(12, seed), most, strict=True))
+    slept.clear()
+    calls[:] = ["before"] * 2  # the next attempt is answered
+    assert questions.send(busy, "x", sleep=slept.append) == (200, "ok", None) and slept == []
 
     def broken(body):
         raise questions.Refused(401, "no")
@@ -142,3 +148,25 @@ def test_summary_and_bootstrap_run(spark):
     assert len(rows) == speech.est_actor_types(spark, DIR).count() and all(r.se is not None and 0 <= r.se < 5 for r in rows)
     near = [r for r in rows if r.actor_type == "whole" and r.se_analytic]
     assert near and all(0.2 < r.se / r.se_analytic < 5 for r in near)
+
+
+def test_near_names_against_all_pairs(spark):
+    """All pairs that are like enough are found, from far fewer candidates; aliases count as names."""
+    rnd = random.Random(7)
+    base = ["".join(rnd.choice("abcdeiouhlmnrst") for _ in range(rnd.randint(1, 16))) for _ in range(300)] + ["a", "ab", "banana", "ananan", ""]
+
+    def touched(x):
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randint(0, len(x))
+            x = x[:i] + rnd.choice(["", "e", "an"]) + x[i + rnd.randint(0, 1) :]
+        return x
+
+    asked = sorted({touched(x) for x in base})
+    one, two = (spark.createDataFrame([(x,) for x in names_], "text string") for names_ in (asked, base))
+    want = {(a, b) for a in asked for b in set(base) if names.ratio(a, b) >= names.LIKE_FULL}
+    got = [(r.a, r.b) for r in names.near_names(one, two).collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+    assert names.near_candidates(one, two).count() < 4 * len(want) < len(asked) * len(set(base)) / 20
+    people = spark.createDataFrame([("7", "Ada", "Day", ["Queen of Hearts", "", None]), ("8", "Bo", "Cut", None)], "person_id string, f string, l string, also array<string>")
+    found = {r.person_id: r.variants for r in names.with_variants(people, "f", "l", "also").collect()}
+    assert found == {"7": ["Ada Day", "Queen of Hearts"], "8": ["Bo Cut"]}
