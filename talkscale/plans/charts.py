@@ -36,12 +36,13 @@ def report_bloc_lines(spark, sf_dir):
     return rounded(b.withColumn("thin", ~ok).withColumn("new", new.cast("int")).withColumn("line", F.sum("new").over(w)).select("r_name", "year", "estimate", "thin", "line"))
 
 
-@query(f"""WITH {SPEECH}, a AS (SELECT DISTINCT n_name, year FROM s WHERE l_orderkey % 40 = 0), i AS (SELECT *, coalesce(year - lag(year) OVER (PARTITION BY n_name ORDER BY year) > 2, true)::INT AS new FROM a), r AS (SELECT *, sum(new) OVER (PARTITION BY n_name ORDER BY year) AS run FROM i), v AS (SELECT n_name, make_date(min(year), 1, 1) AS a, make_date(max(year) + 1, 1, 1) AS b FROM r GROUP BY n_name, run),
+@query(f"""WITH {SPEECH}, a AS (SELECT n_name, year FROM (SELECT n_name, year, sum(words) AS words FROM s GROUP BY ALL) QUALIFY words >= avg(words) OVER (PARTITION BY n_name)), i AS (SELECT *, coalesce(year - lag(year) OVER (PARTITION BY n_name ORDER BY year) > 2, true)::INT AS new FROM a), r AS (SELECT *, sum(new) OVER (PARTITION BY n_name ORDER BY year) AS run FROM i), v AS (SELECT n_name, make_date(min(year), 1, 1) AS a, make_date(max(year) + 1, 1, 1) AS b FROM r GROUP BY n_name, run),
 e AS (SELECT unnest([DATE '1994-06-01', DATE '1996-05-29', DATE '1999-05-17']) AS d), t AS (SELECT row_number() OVER (ORDER BY d) AS term, d AS a, coalesce(lead(d) OVER (ORDER BY d), DATE '2002-01-28') AS b FROM e)
 SELECT n_name, count(DISTINCT term) AS terms FROM v JOIN t ON v.a < t.b AND t.a < v.b AND least(v.b, t.b) - greatest(v.a, t.a) > 0.1 * 365.25 GROUP BY n_name""")
 def report_terms_crossed(spark, sf_dir):
-    """Years of activity, bridged over one missing year, and the terms between elections that they cross."""
-    active = speeches(spark, sf_dir).where("l_orderkey % 40 = 0").select("n_name", "year").distinct()
+    """Years of more speech than usual, bridged over one missing year, and the terms between elections that they cross."""
+    said = speeches(spark, sf_dir).groupBy("n_name", "year").agg(F.sum("words").alias("words"))
+    active = said.withColumn("usual", F.avg("words").over(Window.partitionBy("n_name"))).where("words >= usual").select("n_name", "year")
     runs = sequences.islands(active, ["n_name"], "year", gap=2)
     v = runs.select("n_name", F.make_date("start", F.lit(1), F.lit(1)).alias("start"), F.make_date(F.col("end") + 1, F.lit(1), F.lit(1)).alias("end"))
     e = spark.createDataFrame([("1994-06-01",), ("1996-05-29",), ("1999-05-17",)], "d string").select(F.to_date("d").alias("d"))

@@ -1,4 +1,4 @@
-"""Queries over time and links: components, spells of customers from their orders, names that change on a date. Roles: an order is a position or an event of its customer."""
+"""Queries over time and links, and the run of all estimates: components, spells of customers from their orders, names that change on a date. Roles: an order is a position or an event of its customer."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from talkscale.operators import spells
 from talkscale.operators.components import components
-from talkscale.plans.queries import query, table
+from talkscale.plans import aggregate
+from talkscale.plans.queries import SPEECH, _estimate_sql, query, rounded, speeches, table
 
 PAIRS = "p AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS b, l_quantity AS q FROM lineitem), e AS (SELECT a, b FROM p WHERE b IS NOT NULL AND q >= 49 AND a <> b)"
 
@@ -92,3 +93,59 @@ def people_offices(spark, sf_dir):
 def people_memberships(spark, sf_dir):
     """Memberships in factions, from 1997 on."""
     return _people(spark, sf_dir)[2]
+
+
+DIMENSIONS = [aggregate.Dimension("lr", "position", "lr", "gate"), aggregate.Dimension("galtan", "position", "galtan", "lr_gate"), aggregate.Dimension("topic", "salience", "topic", "gate")]
+RUN = f"""{SPEECH}, u_ AS (SELECT *, l_orderkey || ':' || l_suppkey AS speech_id, (l_orderkey * 8 + l_linenumber) * 1000000 + sitting AS unit_id, CASE l_linestatus WHEN 'F' THEN 'plenary' ELSE 'committee' END AS setting FROM s),
+d_ AS (SELECT u_.* EXCLUDE (y), 'lr' AS dimension, 'position' AS kind, y AS score, gate >= 0.5 AS usable FROM u_ UNION ALL SELECT u_.* EXCLUDE (y), 'galtan', 'position', gate * 10, y / 10 >= 0.5 FROM u_ UNION ALL SELECT u_.* EXCLUDE (y), 'topic', 'salience', CASE WHEN y >= 5 THEN 10.0 ELSE 0.0 END, true FROM u_),
+k_ AS (SELECT dimension, l_suppkey, count(*) FILTER (setting = 'plenary') AS n1, count(*) FILTER (setting = 'committee') AS n2, avg(score) FILTER (setting = 'plenary') AS p, avg(score) FILTER (setting = 'committee') AS c FROM d_ WHERE usable AND kind = 'position' GROUP BY ALL),
+q_ AS (SELECT dimension, CASE WHEN count(*) >= 30 THEN stddev_samp(p) / stddev_samp(c) END AS b, avg(p) - CASE WHEN count(*) >= 30 THEN stddev_samp(p) / stddev_samp(c) END * avg(c) AS a FROM k_ WHERE n1 >= 3 AND n2 >= 3 GROUP BY dimension),
+z_ AS (SELECT d_.* REPLACE (CASE WHEN setting = 'committee' THEN least(greatest(a + b * score, 0), 10) ELSE score END AS score), CASE WHEN setting = 'committee' THEN 1 / (b * b) ELSE 1 END * usable::INT * words AS eff FROM d_ LEFT JOIN q_ USING (dimension) WHERE setting = 'plenary' OR (kind = 'position' AND b IS NOT NULL)),
+f_ AS (SELECT dimension, kind, speech_id, sum(eff * score) / nullif(sum(eff), 0) AS y, CASE WHEN kind = 'position' THEN sqrt(sum(words)) * sum(eff) / sum(words) ELSE sum(eff) END AS w, arg_min(year, unit_id) AS yr, arg_min(sitting, unit_id) AS sitting, arg_min(l_suppkey, unit_id) AS l_suppkey, arg_min(n_name, unit_id) AS n_name, arg_min(r_name, unit_id) AS r_name FROM z_ GROUP BY dimension, kind, speech_id HAVING sum(eff) > 0),
+x_ AS (SELECT *, 'year' AS t, yr AS period FROM f_ UNION ALL SELECT *, 'two years', unnest([yr, yr + 1]) FROM f_),
+"""
+
+
+def _run_sql(kind: str, group: str, name: str) -> str:
+    sql = _estimate_sql(group).replace(SPEECH, RUN + f"sx AS (SELECT dimension || '|' || t || '|' || period AS year, sitting, l_suppkey, n_name, r_name, y, w FROM x_ WHERE kind = '{kind}')")
+    sql = sql.replace("sum(w*w) AS ww FROM s GROUP", "sum(w*w) AS ww FROM sx GROUP")
+    value = "estimate, se" if kind == "position" else "pooled AS estimate, pooled_se AS se"
+    return f"SELECT split_part(year, '|', 1) AS dimension, split_part(year, '|', 2) AS period_type, split_part(year, '|', 3) AS period, '{name}' AS actor_type, {group} AS actor_id, {value}, n_mks, n_speeches, n_sittings FROM ({sql})"
+
+
+def _run(spark, sf_dir):
+    u = speeches(spark, sf_dir)
+    units = u.select(
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("sitting")).alias("unit_id"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("speech_id"), F.when(F.col("l_linestatus") == "F", "plenary").otherwise("committee").alias("setting"),
+        "sitting", "year", "words", "l_suppkey", "n_name", "r_name", F.col("score").alias("lr"), "gate", (F.col("gate") * 10).alias("galtan"), (F.col("score") / 10).alias("lr_gate"), F.when(F.col("score") >= 5, 10.0).otherwise(0.0).alias("topic"),
+    )
+    periods = {"year": F.array("year"), "two years": aggregate.rolling(F.col("year"))}
+    return aggregate.run(units, DIMENSIONS, periods, "l_suppkey", {"party": "n_name", "camp": "r_name"}, bloc="r_name", party="n_name")
+
+
+RESULT = ["dimension", "period_type", "period", "actor_type", "actor_id", "estimate", "se", "n_mks", "n_speeches", "n_sittings"]
+
+
+@query(f"{_run_sql('position', 'n_name', 'party')} UNION ALL {_run_sql('position', 'r_name', 'camp')}")
+def run_group_scores(spark, sf_dir):
+    """Positions of two kinds of actors on two dimensions in years and rolling pairs of years, committee scores calibrated: one run."""
+    return rounded(_run(spark, sf_dir).group_scores.select(*RESULT))
+
+
+@query(f"{_run_sql('salience', 'n_name', 'party')} UNION ALL {_run_sql('salience', 'r_name', 'camp')}")
+def run_salience(spark, sf_dir):
+    """Salience from the same run, of plenary units alone."""
+    return rounded(_run(spark, sf_dir).salience.select(*RESULT))
+
+
+@query(f"WITH {RUN} y AS (SELECT 1) SELECT dimension, period_type, period, l_suppkey, n_speeches, n_sittings, round(s1 / s0, 6) AS estimate FROM (SELECT dimension, t AS period_type, CAST(period AS VARCHAR) AS period, l_suppkey, count(*) AS n_speeches, count(DISTINCT sitting) AS n_sittings, sum(w * y) AS s1, sum(w) AS s0 FROM x_ WHERE kind = 'position' GROUP BY ALL)")
+def run_member_scores(spark, sf_dir):
+    """Members from the same run."""
+    return rounded(_run(spark, sf_dir).member_scores.select("dimension", "period_type", "period", "l_suppkey", "n_speeches", "n_sittings", "estimate"))
+
+
+@query(f"WITH {RUN} y AS (SELECT 1) SELECT dimension, count(*) AS n, count(*) FILTER (usable) AS usable, CAST(sum(CASE WHEN usable THEN unit_id % 1000 ELSE 0 END) AS BIGINT) AS digest FROM d_ GROUP BY dimension")
+def run_unit_scores(spark, sf_dir):
+    """Which units count for which dimension, from the same run."""
+    u = _run(spark, sf_dir).unit_scores
+    return u.groupBy("dimension").agg(F.count("*").alias("n"), F.count(F.when(F.col("usable"), 1)).alias("usable"), F.sum(F.when(F.col("usable"), F.col("unit_id") % 1000).otherwise(0)).alias("digest"))
