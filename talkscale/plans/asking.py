@@ -16,12 +16,19 @@ DIMS = [
 ]
 
 
+@query("""WITH f(pos, qid, dimension, role, type, n_levels, valid_from, payload, sorted) AS (VALUES
+ (0, 'left_right__gate', 'left_right', 'gate', 'noul', NULL, DATE '1997-01-01', '{"type": "noul", "instructions": "Is it about the axis?", "criteria": {"true": "yes", "false": "no"}}', '{"criteria": {"false": "no", "true": "yes"}, "instructions": "Is it about the axis?", "type": "noul"}'),
+ (1, 'left_right__score', 'left_right', 'score', 'score', 3, DATE '1997-01-01', '{"type": "score", "instructions": "Where?", "criteria": ["left", "centre", "right"]}', '{"criteria": ["left", "centre", "right"], "instructions": "Where?", "type": "score"}'),
+ (2, 'tone__score', 'tone', 'salience', 'score', 5, NULL, '{"type": "score", "instructions": "How sharp?", "criteria": ["calm", "sharp", "hostile", "abusive", "violent"]}', '{"criteria": ["calm", "sharp", "hostile", "abusive", "violent"], "instructions": "How sharp?", "type": "score"}'),
+ (3, 'attack__flag', 'attack', 'flag', 'noul', NULL, NULL, '{"type": "noul", "instructions": "Any attack?", "criteria": {"true": "one", "false": "none"}}', '{"criteria": {"false": "none", "true": "one"}, "instructions": "Any attack?", "type": "noul"}')),
+b AS (SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1),
+g AS (SELECT CAST(3 + row_number() OVER (ORDER BY b) AS INT), b || '__flag', b, 'flag', 'noul', NULL, NULL, '{"type": "noul", "instructions": "Is it one of the ' || n || ' about ' || b || '?", "criteria": {"true": "about it", "false": "about another"}}', '{"criteria": {"false": "about another", "true": "about it"}, "instructions": "Is it one of the ' || n || ' about ' || b || '?", "type": "noul"}' FROM b)
+SELECT pos, qid, dimension, role, type, payload, left(sha256(sorted), 16) AS prompt_hash, n_levels, valid_from, CAST(ceil((length(qid) + length(payload)) / 4.0) AS INT) AS tokens FROM (SELECT * FROM f UNION ALL SELECT * FROM g)""")
 def question_table(spark, sf_dir):
-    """The questions that three dimensions make; tested against plain Python."""
-    return qs.question_table(spark, DIMS)
-
-
-QUERIES["question_table"] = question_table
+    """The questions that three dimensions make, and one flag for each brand of parts with its number of parts."""
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy("p_brand").collect()  # definitions are made on the driver; brands are a fixed list
+    flags = [{"id": b.p_brand, "kind": "flag", "gate": {"instructions": f"Is it one of the  {b.n} about\n{b.p_brand}?", "when_true": "about it", "when_false": " about another"}} for b in brands]
+    return qs.question_table(spark, DIMS + flags)
 
 
 @query(f"WITH {PLAN}, k AS (SELECT unit, qid, CAST(substr(qid, 2) AS INT) * 25 AS pos FROM p), m AS (SELECT unit, CAST(pos // 60 AS INT) AS block, bit_or(CAST(1 AS BIGINT) << (pos % 60)) AS mask FROM k GROUP BY ALL), d AS (SELECT unit, CAST(pos // 60 AS INT) AS block, bit_or(CAST(1 AS BIGINT) << (pos % 60)) AS mask FROM k WHERE unit % 3 = 0 AND qid <> 'q3' GROUP BY ALL) SELECT m.unit, m.block, m.mask & ~coalesce(d.mask, 0) AS mask FROM m LEFT JOIN d USING (unit, block) WHERE m.mask & ~coalesce(d.mask, 0) <> 0")
