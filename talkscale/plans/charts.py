@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talkscale.operators import selectors, sequences, summaries
+from talkscale.operators import selectors, sequences, summaries, validation
 from talkscale.plans import estimate
 from talkscale.plans.queries import QUERIES, SPEECH, query, rounded, speeches, table
 from talkscale.plans.reports import _shares
@@ -168,8 +168,8 @@ def distinct_terms(spark, sf_dir):
 @query("SELECT scale, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(x, y) END, 6) AS r FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS scale, c_acctbal AS x, c_custkey::DOUBLE AS y, c_mktsegment AS bloc FROM customer) WHERE bloc <> 'BUILDING' GROUP BY scale")
 def r_without_one_bloc(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("scale"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"), F.col("c_mktsegment").alias("bloc"))
-    kept = c.where(F.col("bloc") != "BUILDING")
-    return rounded(kept.groupBy("scale").agg(F.count("*").alias("n"), summaries.pearson(F.col("x"), F.col("y")).alias("r")))
+    n = c.where(F.col("bloc") != "BUILDING").groupBy("scale").agg(F.count("*").alias("n"))
+    return rounded(validation.r_without(c, "scale", "x", "y", "bloc", "BUILDING").join(n, "scale"))
 
 
 def era_intervals(spark, sf_dir):

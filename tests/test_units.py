@@ -69,7 +69,7 @@ def test_packs(spark):
 
 
 def test_questions(spark):
-    rows = {r.qid: r for r in asking.question_table(spark, DIR).collect()}
+    rows = {r.qid: r for r in questions.question_table(spark, asking.DIMS).collect()}
     assert list(rows) == ["left_right__gate", "left_right__score", "tone__score", "attack__flag"] and [r.role for r in rows.values()] == ["gate", "score", "salience", "flag"]
     payload = {"type": "noul", "instructions": "Is it about the axis?", "criteria": {"true": "yes", "false": "no"}}
     assert json.loads(rows["left_right__gate"].payload) == payload and rows["tone__score"].n_levels == 5 and str(rows["left_right__gate"].valid_from) == "1997-01-01"
