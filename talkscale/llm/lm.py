@@ -177,13 +177,14 @@ class Net:
         """
         if not docs:
             return 0
-        given, wanted, sizes = self._lanes(docs)
+        lanes, sizes = self._lanes(docs)
         seen = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         h, done = np.zeros((len(sizes), HIDDEN), np.float32), 0
         for at in range(0, int(sizes[0]), BPTT):
             k = int(np.searchsorted(-sizes, -at))  # lanes that have not ended
-            window, ids = given[at : at + BPTT, :k], wanted[at : at + BPTT, :k].ravel()
+            window, ids = self._window(docs, lanes[:k], at, min(BPTT, int(sizes[0]) - at))
+            ids = ids.ravel()
             fresh, h = window == self.m + 1, h[:k]
             resets = fresh.any(1).tolist()
             kept: list = []
@@ -211,27 +212,34 @@ class Net:
                 g[rows] = 0
         return done
 
-    def _lanes(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words given and wanted at each time (rows) in each lane, and the lanes' lengths, longest first. Documents keep their order inside a lane; -1 pads what is wanted."""
+    def _lanes(self, docs: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """The documents of each lane, in their order, with where each begins and the last ends; and the lanes' lengths, longest first."""
         heap = [(0, i) for i in range(min(BATCH, len(docs)))]
         lanes: list[list[int]] = [[] for _ in heap]
         for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
             load, lane = heap[0]
             heapq.heapreplace(heap, (load + len(docs[i]), lane))
             lanes[lane].append(i)
-        lanes.sort(key=lambda own: -sum(len(docs[i]) for i in own))
-        sizes = np.array([sum(len(docs[i]) for i in own) for own in lanes])
-        wanted = np.full((int(sizes[0]), len(lanes)), -1, np.int32)
+        placed = [(np.sort(own), np.cumsum([0, *(len(docs[i]) for i in sorted(own))])) for own in lanes]
+        placed.sort(key=lambda own: -own[1][-1])
+        return placed, np.array([starts[-1] for _, starts in placed])
+
+    def _window(self, docs: list[np.ndarray], lanes: list[tuple[np.ndarray, np.ndarray]], at: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words given and wanted at times at to at + steps (rows) in each lane. -1 pads what is wanted. Made for one window only, so a long text takes no room beside lanes that have ended."""
+        wanted = np.full((steps, len(lanes)), -1, np.int32)
         given = np.full_like(wanted, self.m)
-        for lane, own in enumerate(lanes):
-            at = 0
-            for i in sorted(own):
-                end = at + len(docs[i])
-                wanted[at:end, lane] = docs[i]
-                given[at, lane] = self.m + 1
-                given[at + 1 : end, lane] = docs[i][:-1]
-                at = end
-        return given, wanted, sizes
+        for lane, (own, starts) in enumerate(lanes):
+            for j in range(int(np.searchsorted(starts, at, "right")) - 1, len(own)):
+                begin = int(starts[j])
+                if begin >= at + steps:
+                    break
+                low, high = max(at, begin), min(at + steps, int(starts[j + 1]))
+                doc, first = docs[own[j]], low == begin
+                wanted[low - at : high - at, lane] = doc[low - begin : high - begin]
+                given[low - at + first : high - at, lane] = doc[low - begin - 1 + first : high - begin - 1]
+                if first:
+                    given[low - at, lane] = self.m + 1
+        return given, wanted
 
     def _back(self, kept: list, d: np.ndarray, grads: Model) -> None:
         ids, h, z, r, c, gc = (np.stack(x) for x in zip(*kept, strict=True))
@@ -321,7 +329,9 @@ def encode(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 ids = pa.array([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([turns.slice(t.low, t.high - t.low), pa.array(lengths, pa.int64()), ids], names=["turn", "size", "ids"])
 
-    turn = F.xxhash64(F.lit("run"), F.col("doc_id").cast("string")).bitwiseAND(2**62 - 1)
+    # repeated ids differ by their texts; rows without an id by their place, so that no number of them meets in one trainer
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    turn = F.xxhash64(F.lit("run"), F.col("doc_id").cast("string"), F.xxhash64("text"), place).bitwiseAND(2**62 - 1)
     return docs.where(~held_out()).select(turn.alias("turn"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "turn bigint, size bigint, ids binary")
 
 

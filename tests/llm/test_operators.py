@@ -145,6 +145,27 @@ def test_mixing(table):
     assert taken == +want
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_mix_is_near_its_targets(spark, sf):
+    rows = mixing.mix_sources(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")).join(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    own = collections.defaultdict(list)
+    for r in rows:
+        own[r.source].append(r)
+    for got in own.values():
+        assert abs(sum(r.taken for r in got) - got[0].target) <= max(r["size"] for r in got) / 2 + 1e-6
+    assert sum(r.taken for r in rows) >= 1.5 * sum(r["size"] for r in rows) - sum(max(r["size"] for r in got) / 2 for got in own.values())
+
+
+def test_mix_of_small_source_with_a_long_document(spark):
+    """A source ends within half its largest document of its target, whichever document comes first."""
+    for longest in (900, 5000):
+        sizes = [(i, "big", 100) for i in range(400)] + [(1000, "small", 300), (1001, "small", longest)]
+        docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in sizes], "doc_id bigint, source string, text string")
+        taken = sum(r.taken for r in mixing.mix_sources(docs, weights=(20, 1)).collect() if r.doc_id >= 1000)
+        target = min(1.5 * (40_000 + 300 + longest) / 21, 2 * (300 + longest))
+        assert abs(taken - target) <= longest / 2
+
+
 def test_targets(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 90)], "source string, size bigint")
     got = {r.source: r.target for r in mixing.source_targets(sized, (5, 2, 1), 1.5, 2).collect()}
