@@ -4,9 +4,13 @@ Bigrams count with repeats (the second occurrence of a bigram matches only a sec
 a Dice coefficient of t with a template of m only if t/(2-t) m <= n <= (2-t)/t m, and then shares t/(2-t) m bigrams at least;
 so it holds one of the template's anchors, as many of its rarer bigrams as leave fewer than that. Texts without an anchor of
 any template are dropped by one pattern. In the others segments meet only templates that they fit, by an equi-join on n, and
-a window as long as the template slides over all words, wherever in a line or paragraph a notice is.
+a window as long as the template slides over all words, wherever in a line or paragraph a notice is. Where each occurrence of
+a bigram comes into the window and leaves it is known from its own place and the one before it, so running sums give the
+shared bigrams of all windows in one pass; of each run of windows that share the
+same number, and more than those beside them, the last is kept.
 
-n_matches counts the segments that match, and for licences without one the places where windows match.
+Segments and windows are places, spans of words with a template. Of places that overlap the best stays (higher coefficient,
+then longer, then the name first in order), so a notice counts once and names one licence. n_matches counts the places that stay.
 Null and empty texts, and texts without a match, get a row with n_matches 0.
 """
 
@@ -16,12 +20,13 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkscale.llm.common import materialise
+from talkscale.llm.common import array_starts, materialise
 
 THRESHOLD = 0.75
+PLACES = "array<struct<start:bigint,end:bigint,rank:struct<loss:double,short:bigint,name:string>>>"
 
 #: Public licence notices, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -88,8 +93,14 @@ def _pattern(pairs: set[str]) -> str:
     return " (?:" + "|".join(f"{x}(?:{'|'.join(sorted(p[1:] for p in pairs if p[0] == x))})" for x in letters) + ") "
 
 
+def _place(start, end, dice, name) -> Column:
+    """A span of words, end exclusive, with what its rank goes by: the smaller, the better."""
+    rank = F.struct((-dice).alias("loss"), (F.lit(0) - (end - start)).cast("bigint").alias("short"), name.alias("name"))
+    return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), rank.alias("rank"))
+
+
 def _windows(base: DataFrame, known: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
-    """(row, found_name, found_dice, spans): for each text and template the best window of the template's size, and where windows match. A best window starts at a bigram of the template, or is the text's last."""
+    """(row, place): where windows as long as a template share enough bigrams for threshold, and more than those on both sides (the last of a run with the same number)."""
     rows = []
     for k, (name, pairs) in enumerate(known):
         first = set(anchors(pairs, threshold))
@@ -97,25 +108,56 @@ def _windows(base: DataFrame, known: list[tuple[str, list[str]]], threshold: flo
     table = F.broadcast(base.sparkSession.createDataFrame(rows, "pair string, template int, name string, m int, kind int, times int, anchor boolean"))
     words = base.where("flat IS NOT NULL").select("row", F.split(F.trim("flat"), " ").alias("words")).withColumn("last", F.size("words") - 1)
     pairs = words.where("last > 0").select("row", "last", F.posexplode(_bigrams(F.col("words"))).alias("at", "pair"))
-    item = F.struct("at", "kind", "times")
+    item = F.struct("kind", "at", "times")
     each = pairs.join(table, "pair").groupBy("row", "template").agg(F.first("name").alias("name"), F.first("m").alias("m"), F.first("last").alias("last"), F.max("anchor").alias("anchor"), F.sort_array(F.collect_list(item)).alias("items"))
     need = threshold * F.col("m")
     each = each.where(F.col("anchor") & (F.size("items") >= need) & (F.col("last") >= F.col("m")))
-    starts = F.array_distinct(F.transform("items", lambda x: F.least(x["at"], F.col("last") - F.col("m"))))
-    # only where enough bigrams of the template follow
-    dense = F.filter(starts, lambda s: F.size(F.filter("items", lambda x: x["at"].between(s, s + F.col("m") - 1))) >= need)
-    one = each.select("row", "name", "m", "items", F.explode(dense).alias("start"))
-    one = one.withColumn("inside", F.filter("items", lambda x: x["at"].between(F.col("start"), F.col("start") + F.col("m") - 1)))
-    kinds = F.array_distinct(F.transform("inside", lambda x: F.struct(x["kind"].alias("kind"), x["times"].alias("times"))))
-    shared = F.aggregate(kinds, F.lit(0), lambda acc, k: acc + F.least(k["times"], F.size(F.filter("inside", lambda x: x["kind"] == k["kind"]))))
-    one = one.withColumn("found_dice", shared.cast("double") / F.col("m")).where(F.col("found_dice") >= threshold)
-    return one.groupBy("row", F.col("name").alias("found_name")).agg(F.max("found_dice").alias("found_dice"), F.collect_list(F.struct("start", (F.col("start") + F.col("m")).alias("end"))).alias("spans"))
 
+    def change(x: Column, i: Column) -> Column:
+        # an occurrence counts in windows that hold it, but not as many before it as the template has
+        before = F.get("items", i - x["times"])
+        low = F.greatest(F.lit(0), x["at"] - F.col("m") + 1, F.when(before["kind"] == x["kind"], before["at"] + 1))
+        return F.array(F.struct(low.alias("start"), F.lit(1).alias("step")), F.struct((x["at"] + 1).alias("start"), F.lit(-1).alias("step")))
+
+    steps = each.select("row", "template", "name", "m", "last", F.explode(F.flatten(F.transform("items", change))).alias("e")).select("row", "template", "name", "m", "last", "e.*")
+    own = Window.partitionBy("row", "template").orderBy("start")
+    steps = steps.withColumn("shared", F.sum("step").over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("until", F.lead("start").over(own))
+    runs = steps.where((F.col("until").isNull() | (F.col("until") > F.col("start"))) & (F.col("start") <= F.col("last") - F.col("m"))).withColumn("before", F.coalesce(F.lag("shared").over(own), F.lit(0)))
+    runs = runs.where(F.col("shared") != F.col("before")).withColumn("after", F.coalesce(F.lead("shared").over(own), F.lit(0))).withColumn("until", F.lead("start").over(own))
+    runs = runs.where((F.col("shared") >= need) & (F.col("shared") > F.greatest("before", "after")))
+    start = F.least(F.col("until") - 1, F.col("last") - F.col("m"))
+    return runs.select("row", _place(start, start + F.col("m") + 1, F.col("shared").cast("double") / F.col("m"), F.col("name")).alias("place"))
+
+
+def _segments(flat: Column, norm: Column, text: Column) -> Column:
+    """(start, segment) of lines, sentences, paragraphs and the whole text, with the number of words before each."""
+    tidy = lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))
+    sentences = F.transform(F.split(F.lower(text), "(?<=[.!?;:])\\s+"), lambda x: F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " ")))
+    return F.array(F.transform(F.split(norm, "\n"), lambda x: F.trim(x)), sentences, F.transform(F.split(norm, "\n ?\n"), tidy), F.array(F.trim(flat)))
+
+
+def _best(places: str) -> Column:
+    """Of places sorted by start: how many stay, their licences, and the best rank. One pass: a better place that overlaps the one before it is put on top of it; where a place begins after the top's end the stack is settled, from the top down."""
+    kept = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("names"), F.lit(None).cast("struct<loss:double,short:bigint,name:string>").alias("rank"), F.array().cast(PLACES).alias("stack"))
+
+    def settle(acc: Column) -> Column:
+        top = F.struct(acc["n"].alias("n"), acc["names"].alias("names"), acc["rank"].alias("rank"), F.lit(None).cast("bigint").alias("begin"))
+
+        def keep(out: Column, x: Column) -> Column:
+            free = out["begin"].isNull() | (x["end"] <= out["begin"])
+            kept = F.struct((out["n"] + 1).alias("n"), F.array_union(out["names"], F.array(x["rank"]["name"])).alias("names"), F.least(out["rank"], x["rank"]).alias("rank"), x["start"].alias("begin"))
+            return F.when(free, kept).otherwise(out)
+
+        return F.aggregate(F.reverse(acc["stack"]), top, keep)
+
+    def step(acc: Column, x: Column) -> Column:
+        top = F.try_element_at(acc["stack"], F.lit(-1))
+        with_stack = lambda own, stack: F.struct(own["n"].alias("n"), own["names"].alias("names"), own["rank"].alias("rank"), stack.alias("stack"))
+        after = top.isNotNull() & (x["start"] >= top["end"])
+        better = top.isNull() | (x["rank"] < top["rank"])
+        return F.when(after, with_stack(settle(acc), F.array(x))).when(better, with_stack(acc, F.concat(acc["stack"], F.array(x)))).otherwise(acc)
 
-def _places(spans: Column) -> Column:
-    """How many stretches sorted spans cover."""
-    none = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"))
-    return F.aggregate(spans, none, lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.when(x["start"] >= acc["end"], 1).otherwise(0)).alias("n")))["n"]
+    return F.aggregate(places, kept, step, settle)
 
 
 def _bigrams(words: Column) -> Column:
@@ -130,7 +172,7 @@ def _numbered(pairs: str) -> Column:
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per document: doc_id, license (of the best match; ties by name), dice, licenses (all that match, by name), n_matches (segments that match)."""
+    """One row per document: doc_id, license (of the best place; ties by length, then name), dice, licenses (of all places, by name), n_matches (places, none of which overlap)."""
     known = [(name, bigrams(text)) for name, text in templates or TEMPLATES]
     ranges = [bounds(len(b), threshold) for _, b in known]
     least, most = max(1, min(a for a, _ in ranges)), max(b for _, b in ranges)
@@ -140,29 +182,21 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: list
     norm = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{N}\\n]+", " ")
     flat = F.concat(F.lit(" "), F.regexp_replace("norm", "[ \n]+", " "), F.lit(" "))
     base = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", norm.alias("norm")).withColumn("flat", flat)
-    held = F.col("flat").rlike(_pattern({a for _, b in known for a in anchors(b, threshold)}))
+    pattern = _pattern({a for _, b in known for a in anchors(b, threshold)})
+    held = F.col("flat").rlike(pattern)
     base = materialise(base.select("doc_id", "row", *[F.when(held, F.col(c)).alias(c) for c in ("text", "norm", "flat")]), "licensed")
-    df = base.where("flat IS NOT NULL")
-    lines, paragraphs = F.split("norm", "\n"), F.split("norm", "\n ?\n")
-    # a paragraph of one line is that line
-    more = F.filter(F.concat(paragraphs, F.array("norm")), lambda x: F.contains(x, F.lit("\n")))
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    tidy = lambda a: F.transform(a, lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " ")))
-    sentences = F.transform(F.split(F.lower("text"), "(?<=[.!?;:])\\s+"), lambda x: F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " ")))
-    segments = F.filter(F.concat(F.transform(lines, lambda x: F.trim(x)), tidy(more), sentences), lambda x: spaces(x).between(least, most))
-    df = df.select("row", F.explode(F.array_distinct(segments)).alias("segment"))
-    df = df.withColumn("fit_n", spaces(F.col("segment"))).withColumn("words", F.split("segment", " "))
-    df = df.withColumn("plain", F.when(F.col("fit_n") > 0, _bigrams(F.col("words")))).withColumn("pairs", _numbered("plain"))
+    df = base.where("flat IS NOT NULL").select("row", F.explode(_segments(F.col("flat"), F.col("norm"), F.col("text"))).alias("pieces"))
+    df = df.withColumn("sizes", F.transform("pieces", lambda x: F.when(x == "", 0).otherwise(spaces(x) + 1).cast("bigint"))).withColumn("starts", array_starts(F.col("sizes")))
+    df = df.select("row", F.explode(F.arrays_zip("starts", "pieces")).alias("z")).select("row", F.col("z.starts").alias("start"), F.col("z.pieces").alias("segment"))
+    df = df.withColumn("fit_n", spaces(F.col("segment"))).where(F.col("fit_n").between(least, most) & F.concat(F.lit(" "), "segment", F.lit(" ")).rlike(pattern))
+    df = df.withColumn("plain", _bigrams(F.split("segment", " "))).withColumn("pairs", _numbered("plain"))
     found = df.join(table, df["fit_n"] == table["fit"])
     dice = (2.0 * F.size(F.array_intersect("pairs", "template")) / (F.size("pairs") + F.size("template"))).alias("dice")
-    hits = found.select("row", "segment", "name", dice).where(F.col("dice") >= threshold)
-    whole = hits.groupBy("row").agg(F.collect_set(F.struct(-F.col("dice"), F.col("name"))).alias("ranked"), F.size(F.collect_set("segment")).alias("n"))
-    slid = _windows(base, known, threshold).groupBy("row").agg(F.collect_set(F.struct(-F.col("found_dice"), F.col("found_name").alias("name"))).alias("slid"), F.collect_list(F.struct("found_name", "spans")).alias("places"))
-    out = base.select("doc_id", "row").join(whole, "row", "left").join(slid, "row", "left")
-    none = F.array().cast("array<struct<d:double,name:string>>")
-    same = lambda c: F.coalesce(F.col(c).cast("array<struct<d:double,name:string>>"), none)
-    out = out.withColumn("own", F.transform(same("ranked"), lambda r: r["name"])).withColumn("all", F.sort_array(F.concat(same("ranked"), same("slid"))))
-    spans = F.array_sort(F.flatten(F.transform(F.filter("places", lambda p: ~F.array_contains("own", p["found_name"])), lambda p: p["spans"])))
-    best, names = F.try_element_at("all", F.lit(1)), F.array_sort(F.array_distinct(F.transform("all", lambda r: r["name"])))
-    n = F.coalesce("n", F.lit(0)) + F.coalesce(_places(spans), F.lit(0))
-    return out.select("doc_id", best["name"].alias("license"), (-best["d"]).alias("dice"), F.array_join(names, ",").alias("licenses"), n.cast("bigint").alias("n_matches"))
+    hits = found.select("row", "start", (F.col("start") + F.col("fit_n") + 1).alias("end"), dice, "name").where(F.col("dice") >= threshold)
+    places = hits.select("row", _place(F.col("start"), F.col("end"), F.col("dice"), F.col("name")).alias("place")).unionByName(_windows(base, known, threshold))
+    sorted_places = places.groupBy("row").agg(F.collect_set("place").alias("places")).withColumn("places", F.sort_array("places"))
+    best = sorted_places.select("row", _best("places").alias("best"))
+    out = base.select("doc_id", "row").join(best, "row", "left")
+    names = F.coalesce(F.array_join(F.array_sort("best.names"), ","), F.lit(""))
+    return out.select("doc_id", F.col("best.rank.name").alias("license"), (-F.col("best.rank.loss")).alias("dice"), names.alias("licenses"), F.coalesce("best.n", F.lit(0)).cast("bigint").alias("n_matches"))

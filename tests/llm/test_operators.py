@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import math
+import random
 import re
 import textwrap
 import zlib
@@ -204,6 +206,60 @@ def test_licenses(spark, table):
     assert got[1][0] == "MIT" and got[1][1] >= 1 and got[2] == (None, 0) and got[3][0] == "Apache-2.0"
 
 
+def licence_places(text, threshold=licenses.THRESHOLD):
+    """Every window and every segment held against every template; then the best places first, while they overlap no better one."""
+    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).split()
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    words, flat, places = norm(text), pairs(norm(text)), set()
+    pieces = []
+    for cut in (r"\n", r"(?<=[.!?;:])\s+", r"\n[^\S\n]*\n", r"\Z"):
+        at = 0
+        for piece in re.split(cut, text):
+            pieces.append((at, norm(piece)))
+            at += len(pieces[-1][1])
+    for name, template in licenses.TEMPLATES:
+        own = collections.Counter(pairs(norm(template)))
+        m = own.total()
+        shared = [0, *((own & collections.Counter(flat[i : i + m])).total() for i in range(len(flat) - m + 1)), 0]
+        runs = [(n, len(list(g))) for n, g in itertools.groupby(shared[1:-1])]
+        at = 0
+        for i, (n, length) in enumerate(runs):
+            at += length
+            if n >= threshold * m and n > max(runs[i - 1][0] if i else 0, runs[i + 1][0] if i + 1 < len(runs) else 0):
+                places.add((-n / m, -(m + 1), name, at - 1, at + m))
+        for start, piece in pieces:
+            n = len(piece) - 1
+            dice = 2 * (own & collections.Counter(pairs(piece))).total() / (n + m) if n > 0 else 0
+            if dice >= threshold:
+                places.add((-dice, -len(piece), name, start, start + len(piece)))
+    kept = []
+    for p in sorted(places):
+        if all(p[4] <= q[3] or q[4] <= p[3] for q in kept):
+            kept.append(p)
+    assert all(p[4] <= len(words) for p in kept)
+    return (kept[0][2], -kept[0][0]) if kept else (None, None), ",".join(sorted({p[2] for p in kept})), len(kept)
+
+
+def test_license_places_against_all_windows(spark, docs):
+    rng = random.Random(5)
+    notices = [t for _, t in licenses.TEMPLATES]
+    made = []
+    for _ in range(60):
+        parts = [rng.choice(notices) if rng.random() < 0.6 else "some other words of a text" for _ in range(rng.randint(1, 6))]
+        words = rng.choice([" ", "\n", "\n\n"]).join(parts).split(" ")
+        made.append(" ".join(w if rng.random() < 0.97 else rng.choice(["", "word", w + " " + w]) for w in words))
+    rows = [(i, t) for i, t in enumerate([*made, "", None])] + [(1000 + r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 20_000]
+    got = {r.doc_id: ((r.license, r.dice), r.licenses, r.n_matches) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: licence_places(t or "") for i, t in rows}
+
+
+def test_copies_of_a_notice(spark):
+    """So many copies are so many places, and another version of the licence isn't named; a text of a megabyte takes one pass."""
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    docs = spark.createDataFrame([(n, "\n".join([gpl] * n)) for n in (1, 25, 50, 4000)], "doc_id int, text string")
+    assert {r.doc_id: (r.licenses, r.n_matches) for r in licenses.scan_licenses(docs).collect()} == {n: ("GPL-3.0", n) for n in (1, 25, 50, 4000)}
+
+
 def scan_rows(table):
     return licenses.scan_licenses(table).count()
 
