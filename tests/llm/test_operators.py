@@ -337,6 +337,34 @@ def test_lm_trains_on_every_token(spark):
     assert lm.train(encoded, lm.Net(np.ones(len(words)), 1.0)) == tokens > 64 * len(texts)
 
 
+def test_lm_windows_beside_a_long_text():
+    """Windows give every lane's documents word by word, whatever their lengths, and the lanes hold places alone."""
+    rng = np.random.default_rng(3)
+    net = lm.Net(np.ones(50), 1.0)
+    docs = [rng.integers(0, 50, n).astype("<u2") for n in (1, 2_000, 1, 7, *rng.integers(1, 40, 400).tolist())]
+    lanes, sizes = net._lanes(docs)
+    assert sizes.sum() == sum(map(len, docs)) and sorted(i for own, _ in lanes for i in own) == list(range(len(docs)))
+    read = [([], []) for _ in lanes]
+    for at in range(0, int(sizes[0]), lm.BPTT):
+        k = int(np.searchsorted(-sizes, -at))
+        given, wanted = net._window(docs, lanes[:k], at, min(lm.BPTT, int(sizes[0]) - at))
+        for lane in range(k):
+            read[lane][0].extend(given[:, lane].tolist())
+            read[lane][1].extend(wanted[:, lane].tolist())
+    for (own, _), (given, wanted) in zip(lanes, read, strict=True):
+        words = [w for i in own for w in docs[i].tolist()]
+        before = [w for i in own for w in [net.m + 1, *docs[i].tolist()[:-1]]]
+        assert wanted[: len(words)] == words and set(wanted[len(words) :]) <= {-1} and given[: len(words)] == before
+
+
+def test_lm_deals_rows_without_or_with_one_id(spark):
+    """Neither rows without an id nor texts under one id meet in one trainer."""
+    training = next(i for i in range(20) if zlib.crc32(str(i).encode()) % 10)
+    for rows in ([(None, "same text")] * 300, [(training, f"text {i}") for i in range(300)]):
+        turns = [r.turn for r in lm.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), np.array([1, 2])).collect()]
+        assert len(turns) in (0, 300) and len(set(turns)) == len(turns)
+
+
 def test_lm_learns_beyond_the_first_words():
     rng = np.random.default_rng(1)
     docs = [np.concatenate([rng.integers(0, 50, 200), np.tile([50, 51, 52], 400), [53]]) for _ in range(8)]
