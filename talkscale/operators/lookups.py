@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 def with_fallback(df: DataFrame, table: DataFrame, key: str, column: str, fallback: Column) -> DataFrame:
     """Add column from a small dimension table; blank or missing values take the fallback."""
-    return df.join(F.broadcast(table.select(key, column)), key, "left").withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit("")), fallback))
+    return df.join(table.select(key, column), key, "left").withColumn(column, F.coalesce(F.nullif(F.col(column), F.lit("")), fallback))
 
 
 def with_wildcard(df: DataFrame, table: DataFrame, key: str, second: str, column: str, fallback: Column) -> DataFrame:
     """Add column by (key, second), else by (key, '*'), else the fallback."""
     exact = table.where(F.col(second) != "*").select(key, F.col(second).alias("_s"), F.col(column).alias("_exact"))
     any_ = table.where(F.col(second) == "*").select(key, F.col(column).alias("_any"))
-    out = df.join(F.broadcast(any_), key, "left")
-    out = out.join(F.broadcast(exact.withColumnRenamed(key, "_k")), (F.col(key) == F.col("_k")) & (F.col(second).cast("string") == F.col("_s")), "left")
+    out = df.join(any_, key, "left")
+    out = out.join(exact.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col(second).cast("string") == F.col("_s")), "left")
     return out.withColumn(column, F.coalesce("_exact", "_any", fallback)).drop("_k", "_s", "_exact", "_any")
 
 
@@ -27,13 +27,13 @@ def override(df: DataFrame, table: DataFrame, keys: list[str], column: str) -> D
 
 def in_windows(df: DataFrame, windows: DataFrame, key: str, date: str, name: str) -> DataFrame:
     """Rows with each window (key, date_from, date_to, name) they lie in; once per name even if several of its windows hit. windows is a small table."""
-    w = F.broadcast(windows.withColumnRenamed(key, "_k"))
+    w = windows.withColumnRenamed(key, "_k")
     return df.join(w, (F.col(key) == F.col("_k")) & F.col(date).between(F.col("date_from"), F.col("date_to"))).drop("_k", "date_from", "date_to").dropDuplicates()
 
 
 def latest_spell(df: DataFrame, spells: DataFrame, row: str, key: str, date: str, value: str) -> DataFrame:
     """(row, value): of the spells that contain the date the one that starts last."""
-    s = F.broadcast(spells.select(F.col(key).alias("_k"), "start", "end", value))
+    s = spells.select(F.col(key).alias("_k"), "start", "end", value)
     hit = df.join(s, (F.col(key) == F.col("_k")) & F.col(date).between(F.col("start"), F.coalesce("end", F.lit("2099-12-31").cast("date"))))
     return hit.groupBy(row).agg(F.max_by(value, "start").alias(value))
 
@@ -48,7 +48,7 @@ def first_spell(df: DataFrame, spells: DataFrame, row: str, date: str, value: st
 def active_within(df: DataFrame, spells: DataFrame, key: str, date: str, pad: int) -> DataFrame:
     """Rows whose date lies in a spell of their key, widened by pad days on both sides."""
     s = spells.select(F.col(key).alias("_k"), F.date_sub("start", pad).alias("_a"), F.date_add("end", pad).alias("_b"))
-    return df.join(F.broadcast(s), (F.col(key) == F.col("_k")) & F.col(date).between(F.col("_a"), F.col("_b")), "left_semi")
+    return df.join(s, (F.col(key) == F.col("_k")) & F.col(date).between(F.col("_a"), F.col("_b")), "left_semi")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

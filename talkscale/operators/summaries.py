@@ -23,7 +23,7 @@ def standardised(df: DataFrame, group: str, stratum: str, value: str) -> DataFra
     """Means of each group with the strata weighted as in the whole; strata that a group lacks are left out of its weights."""
     cell = df.groupBy(group, stratum).agg(F.avg(value).alias("m"))
     size = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    return cell.join(F.broadcast(size), stratum).groupBy(group).agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("rate"))
+    return cell.join(size, stratum).groupBy(group).agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("rate"))
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -45,8 +45,8 @@ def volatility(shares: DataFrame, period: str, family: str, share: str) -> DataF
     """Half the sum of absolute changes between consecutive periods; a family that a period lacks has share 0."""
     times = shares.select(period).distinct()
     after = times.withColumn("next", F.lead(period).over(Window.orderBy(period))).where("next IS NOT NULL")  # one row for each period
-    before = shares.join(F.broadcast(after), period).select(F.col("next").alias(period), family, F.col(share).alias("_a"))
-    now = shares.join(F.broadcast(after.select(F.col("next").alias(period))), period, "left_semi").select(period, family, F.col(share).alias("_b"))
+    before = shares.join(after, period).select(F.col("next").alias(period), family, F.col(share).alias("_a"))
+    now = shares.join(after.select(F.col("next").alias(period)), period, "left_semi").select(period, family, F.col(share).alias("_b"))
     return before.join(now, [period, family], "full").groupBy(period).agg((F.sum(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))) / 2).alias("volatility"))
 
 
