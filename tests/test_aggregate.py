@@ -1,7 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from talkscale.plans import aggregate
+from talkscale.plans import aggregate, estimate
 from talkscale.settings import Settings
 
 DIMENSIONS = [aggregate.Dimension("d", "position", "score", "gate"), aggregate.Dimension("t", "salience", "topic", "gate")]
@@ -49,3 +51,30 @@ def test_the_units_are_scanned_once(spark, units, tmp_path):
     table = aggregate.run(spark.read.parquet(path), DIMENSIONS, {"year": F.array("year")}, "member", {"party": "party"})
     for df in table:
         assert path not in "".join(df.inputFiles())
+
+
+def test_no_join_meets_by_slices_alone(spark, units, monkeypatch):
+    """A dimension, or a period of it, may be all of the input, so no join may leave it to one task, even where Spark can't know that the other side is small."""
+    plans = []
+    for module in (aggregate, estimate):
+        monkeypatch.setattr(module, "once", lambda df, name, old=module.once: plans.append(df) or old(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans += aggregate.run(units, DIMENSIONS, {"year": F.array("year")}, "member", {"party": "party"})
+        joins = re.findall(r"(?:SortMerge|ShuffledHash)Join \[([^\]]*)\]", "".join(df._jdf.queryExecution().toString() for df in plans))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    met = [{re.sub(r"#.*", "", c.strip()) for c in keys.split(",")} for keys in joins]
+    assert met and not [m for m in met if m <= set(aggregate.SLICES)]
+
+
+def test_speeches_of_several_units(spark):
+    """Each dimension takes its columns from the first of its own units; a committee's moved scores count by their precision."""
+    rows = [("b", "s", "plenary", 2.0, "late", 4.0, True, None, True), ("a", "s", "committee", 1.0, "early", 6.0, True, 10.0, True), ("c", "s", None, 3.0, "last", None, True, 0.0, True), ("d", "t", "committee", 1.0, "other", None, True, 5.0, True)]
+    scored = spark.createDataFrame(rows, "unit_id string, speech_id string, setting string, words double, member string, score_0 double, usable_0 boolean, score_1 double, usable_1 boolean")
+    got = {r.dimension: r for r in aggregate.speeches_of(scored, DIMENSIONS, {"d": (1.0, 0.5)}, "unit_id").collect()}
+    # 1 + 6 / 2 = 4 with precision 4; salience has the unit without a setting alone
+    assert (got["d"].member, got["d"].score, got["d"].weight) == ("early", pytest.approx(4.0), pytest.approx(3**0.5 * (2 + 4) / 3))
+    assert (got["t"].member, got["t"].score, got["t"].weight) == ("last", 0.0, 3.0) and len(got) == 2
+    assert [r.dimension for r in aggregate.speeches_of(scored, DIMENSIONS, {}, "unit_id").where("member = 'late'").collect()] == ["d"]
