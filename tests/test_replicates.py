@@ -1,6 +1,8 @@
+import re
+import zlib
+
 import numpy as np
 import pytest
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -136,3 +138,22 @@ def test_validation_run(spark):
     got = summary.first()
     assert got.status == "ok" and got.n_clusters == 9 and got.r > 0.9 and 0.5 < got.r_lo < got.r_hi <= 1 and got.floor < got.r
     assert agreement.run(speeches, waves, ratings.limit(0), replicates=0)[0].count() == 0
+
+
+def test_vectors_never_meet_by_slice_alone(spark, cells, monkeypatch):
+    """A slice's members are most of the input, so none of their vectors may be dealt by slice, even where Spark can't know that the other side is small; and parts are added up a few at a time, to the same sums."""
+    want, plans = boot(cells[1], times=20), []
+    keep = estimate.once
+    monkeypatch.setattr(estimate, "once", lambda df, name: plans.append(df) or keep(df, name))
+    monkeypatch.setattr(replicates, "FAN", 2)
+    monkeypatch.setattr(replicates, "MEMBERS", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = estimate.bootstrap(cells[1], ["year"], [*KEYS, "whole"], ACTORS, "position", 20, 7)
+        got = {(r.year, r.actor_type, r.actor_id): r.replicates for r in made.collect()}
+        text = "".join(df._jdf.queryExecution().toString() for df in [*plans, made])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text and not re.findall(r"(?:SortMerge|ShuffledHash)Join \[year#\d+\w*\]", text)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k][1], rel=1e-9) for k in want)
