@@ -1,6 +1,7 @@
 """Readers, writers, the stream and the cutting operators."""
 
 import bz2
+import hashlib
 import http.server
 import json
 import threading
@@ -124,6 +125,21 @@ def test_packs_hold_every_unit_once(spark):
     assert sizes.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{DIR}/lineitem.parquet").count() and sizes.where("q + 2 * (n - 1) > 200").count() == 0
 
 
+def test_packs_against_plain_python(spark):
+    """Groups, null keys and null units too, are dealt in the order of their hashes by a few calls of Python, not by one for each group."""
+    rows = [(None if i % 9 == 0 else f"m{i % 9}", i % 3, None if i == 77 else f"é{i}", None if i % 10 == 0 else i % 47) for i in range(300)]
+    df = spark.createDataFrame(rows, "member string, year int, unit string, n int")
+    got = cutting.deal_packs(df, ["member", "year"], "unit", "n", 90, 2, 5)
+    assert got.columns == ["member", "year", "unit", "pack"] and dict(got.dtypes)["pack"] == "int"
+    groups = {}
+    for member, year, unit, n in rows:
+        turn = None if unit is None else hashlib.sha256(f"{unit}|5".encode()).hexdigest()
+        groups.setdefault((member, year), []).append((unit is None, turn, unit, n or 0))
+    want = {(*key, line[2], pack) for key, lines in groups.items() for line, pack in zip(sorted(lines), cutting.deal([x[3] for x in sorted(lines)], 90, 2), strict=True)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(rows)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_whole_texts_and_estimate_tables(spark, tmp_path):
     (tmp_path / "a.1.txt").write_text("one\n\ntwo", encoding="utf-8")
     (tmp_path / "b.txt").write_text("שלום", encoding="utf-8")
