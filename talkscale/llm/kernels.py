@@ -8,8 +8,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
-SLICE = 2 << 20
+#: Bytes of text that a kernel works on at once; a longer text is a slice of its own. A kernel holds some 70 bytes for each of them, in every worker of an executor.
+SLICE = 512 << 10
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _SPACE = np.zeros(256, bool)

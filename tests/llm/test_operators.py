@@ -570,3 +570,25 @@ def test_secret_values_are_not_written(spark):
     root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     tables = [*glob.glob(f"{root}/talkscale/candidates-*"), *glob.glob(f"{root}/talkscale/hashes-*")]
     assert tables and all(value not in repr(spark.read.parquet(t).collect()) for t in tables)
+
+
+def test_kernels_hold_little_beside_the_texts():
+    """A worker's own memory is that of a slice, whatever the column holds; slices of other sizes count the same."""
+    import tracemalloc
+
+    from talkscale.llm import kernels
+
+    texts = lm.pa.array([" ".join(f"w{i % 97} x{(i * k) % 1013}" for i in range(200)) + "\n" for k in range(2500)])
+    whole = list(kernels.slices(texts, 1 << 30))
+    assert len(whole) == 1
+    want = kernels.quality_counts(whole[0])
+    del whole
+    kernels._powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    tracemalloc.start()
+    try:
+        got = [kernels.quality_counts(t) for t in kernels.slices(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) > 2 and all((np.concatenate([g[c] for g in got]) == want[c]).all() for c in want)
+    assert peak < 64 << 20
