@@ -16,7 +16,9 @@ them meet their counts in a join.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import math
 
 import numpy as np
@@ -31,7 +33,7 @@ from talkscale.llm.common import materialise
 WORDS, CLASS, HIDDEN, KNOWN = 4096, 64, 16, 262_144
 BPTT, BATCH, ROUNDS, TRAINER_DOCS, TRAINER_TOKENS, RATE = 32, 192, 3, 4000, 8_000_000, 0.2
 START, END = 1, 2
-FAN, CHUNK = 16, 32
+FAN, CHUNK, ROWS = 16, 32, 1024
 
 Model = dict[str, np.ndarray]
 
@@ -61,88 +63,103 @@ class Net:
         }
 
     def step(self, ids: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        a, g, n = self.p["X"][ids], h @ self.p["U"], HIDDEN
-        gates = a[:, : 2 * n] + g[:, : 2 * n]
-        np.reciprocal(1 + np.exp(np.negative(gates, out=gates), out=gates), out=gates)
-        z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
+        # the update gates, reset gates and candidates of all rows lie apart, so that each is one run of memory
+        a = np.take(self.p["X"].reshape(-1, HIDDEN), 3 * ids + np.arange(3)[:, None], axis=0)
+        g = np.matmul(h, self._gates())
+        gates = np.add(a[:2], g[:2], out=g[:2])
+        np.reciprocal(np.add(np.exp(np.negative(gates, out=gates), out=gates), 1, out=gates), out=gates)
+        z, r = gates
+        c = r * g[2]
+        np.tanh(np.add(c, a[2], out=c), out=c)
         if keep is not None:
-            keep.append((ids, h, z, r, c, g[:, 2 * n :]))
-        return c + z * (h - c)
+            keep.append((ids, h, z, r, c, g[2]))
+        out = h - c
+        out *= z
+        out += c
+        return out
+
+    def _gates(self) -> np.ndarray:
+        return np.ascontiguousarray(self.p["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
 
     def output(self, h: np.ndarray, ids: np.ndarray, grads: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each of ids after state h; with grads also adds the loss's gradients there and returns that of h."""
-        p, rows = self.p, np.arange(len(ids))
-        cls = np.minimum(ids // CLASS, self.classes)
+        W, w, O, o = (self.p[k] for k in "WwOo")  # noqa: E741
+        cls = np.minimum(ids // CLASS, self.classes).astype(number_type(self.classes))  # numbers of 16 bits are sorted by counting
         cls[ids >= self.m] = self.classes
-        a = h @ p["W"].T + p["w"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1)
-        out = a[rows, cls] - np.log(s)
-        dh = None
-        if grads is not None:
-            d = e / s[:, None]
-            d[rows, cls] -= 1
-            dh = d @ p["W"]
-            grads["W"] += d.T @ h
-            grads["w"] += d.sum(0)
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        h, ids, cls = h[order], ids[order], cls[order]
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1))
+        got, dh = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
+        for low in range(0, len(h), ROWS):
+            part = slice(low, low + ROWS)
+            got[part], b = self._choose(h[None, part], cls[None, part], W[None], w[None], None if grads is None else 1)
+            if grads is not None:
+                dh[part] = b[0].T @ W
+                grads["W"] += b[0] @ h[part]
+                grads["w"] += b[0].sum(1)
         if grads is not None:
-            self._inside(h, ids, order[: cuts[-1]], cuts, out, dh, grads)
-            return out, dh
-        for c in range(self.classes):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
-                continue
-            low, high = c * CLASS, min((c + 1) * CLASS, self.m)
-            b = h[at] @ p["O"][low:high].T + p["o"][low:high]
-            b -= b.max(1, keepdims=True)
-            e = np.exp(b)
-            s = e.sum(1)
-            k, own = np.arange(len(at)), ids[at] - low
-            out[at] += b[k, own] - np.log(s)
-        return out, dh
-
-    def _inside(self, h: np.ndarray, ids: np.ndarray, order: np.ndarray, cuts: np.ndarray, out: np.ndarray, dh: np.ndarray, grads: Model) -> None:
-        """Words inside their classes, with gradients. A training window has few words of a class, so the words, by class in order, are cut into chunks of at most CHUNK words of one class, which are computed together."""
-        if not len(order):
+            self._inside(h[: cuts[-1]], ids[: cuts[-1]], cuts, got, dh, grads)
+        else:
+            for c in np.flatnonzero(np.diff(cuts)).tolist():
+                own = slice(c * CLASS, (c + 1) * CLASS)
+                for low in range(cuts[c], cuts[c + 1], ROWS):
+                    part = slice(low, min(low + ROWS, cuts[c + 1]))
+                    got[part] += self._choose(h[None, part], ids[None, part] % CLASS, O[None, own], o[None, own])[0][0]
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
+
+    @staticmethod
+    def _choose(x: np.ndarray, own: np.ndarray, W: np.ndarray, w: np.ndarray, real: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the choices own (c, n) under softmax(W x + w) for c times n states x; with real also the loss's gradients of W x + w, none where real is 0. Choices are rows, so that largest ones and sums are taken over many states at once."""
+        b = W @ x.transpose(0, 2, 1)
+        b += w[:, :, None]
+        b -= b.max(1, keepdims=True)
+        (c, k, n), flat = b.shape, b.reshape(-1)
+        at = (np.arange(c)[:, None] * k + own) * n + np.arange(n)
+        hit = flat[at]
+        np.exp(b, out=b)
+        s = np.ones(k, b.dtype) @ b
+        if real is not None:
+            b *= (real / s)[:, None]
+            flat[at] -= real
+        return hit - np.log(s), b
+
+    def _inside(self, h: np.ndarray, ids: np.ndarray, cuts: np.ndarray, out: np.ndarray, dh: np.ndarray, grads: Model) -> None:
+        """Words inside their classes, with gradients. A training window has few words of a class, so the words, by class in order, are cut into chunks of at most CHUNK words of one class, and ROWS words are computed together."""
+        if not len(h):
             return
         counts = np.diff(cuts)
         chunks = -(-counts // CHUNK)
         of_chunk = np.repeat(np.arange(self.classes), chunks)
-        rank = np.arange(len(order)) - np.repeat(cuts[:-1], counts)
-        slot = np.repeat(np.cumsum(chunks) - chunks, counts) * CHUNK + rank
+        slot = np.arange(len(h)) + np.repeat((np.cumsum(chunks) - chunks) * CHUNK - cuts[:-1], counts)
         high, n = self.classes * CLASS, h.shape[1]
         O, o = self.p["O"], self.p["o"]  # noqa: E741
         if high > self.m:
             O, o = np.concatenate([O, np.zeros((high - self.m, n), O.dtype)]), np.append(o, np.full(high - self.m, -np.inf, o.dtype))  # noqa: E741
-        own = O.reshape(-1, CLASS, n)[of_chunk]
-        x = np.zeros((len(of_chunk) * CHUNK, n), h.dtype)
-        x[slot] = h[order]
-        x = x.reshape(-1, CHUNK, n)
-        b = x @ own.transpose(0, 2, 1)
-        b += o.reshape(-1, 1, CLASS)[of_chunk]
-        b -= b.max(2, keepdims=True)
-        b, at = b.reshape(-1, CLASS), ids[order] % CLASS
-        hit = b[slot, at]
-        d = np.exp(b, out=b)
-        s = d.sum(1)
-        out[order] += hit - np.log(s[slot])
-        d /= s[:, None]
-        d[slot, at] -= 1
-        empty = np.ones(len(d), bool)
-        empty[slot] = False
-        d[empty] = 0
-        d = d.reshape(-1, CHUNK, CLASS)
-        dh[order] += (d @ own).reshape(-1, n)[slot]
-        first = np.flatnonzero(np.diff(of_chunk, prepend=-1))
-        of_o, of_b = np.add.reduceat(d.transpose(0, 2, 1) @ x, first), np.add.reduceat(d.sum(1), first)
-        for c, of_rows, of_bias in zip(of_chunk[first].tolist(), of_o, of_b, strict=True):
-            low, size = c * CLASS, min(CLASS, self.m - c * CLASS)
-            grads["O"][low : low + size] += of_rows[:size]
-            grads["o"][low : low + size] += of_bias[:size]
+        O, o = O.reshape(-1, CLASS, n), o.reshape(-1, CLASS)  # noqa: E741
+        of_O, of_o = np.zeros_like(O), np.zeros_like(o)
+        x, own, real = np.zeros((len(of_chunk) * CHUNK, n), h.dtype), np.zeros(len(of_chunk) * CHUNK, np.int64), np.zeros(len(of_chunk) * CHUNK, h.dtype)
+        x[slot], own[slot], real[slot] = h, ids % CLASS, 1
+        x, own, real = x.reshape(-1, CHUNK, n), own.reshape(-1, CHUNK), real.reshape(-1, CHUNK)
+        logs, d, ones = np.empty_like(real), np.empty_like(x), np.ones(CHUNK, h.dtype)
+        for low in range(0, len(x), ROWS // CHUNK):
+            part = slice(low, low + ROWS // CHUNK)
+            of = of_chunk[part]
+            weights = O[of]
+            logs[part], b = self._choose(x[part], own[part], weights, o[of], real[part])
+            d[part] = b.transpose(0, 2, 1) @ weights
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            of_O[of[first]] += np.add.reduceat(b @ x[part], first)
+            of_o[of[first]] += np.add.reduceat(b @ ones, first)
+        out[: len(h)] += logs.reshape(-1)[slot]
+        dh[: len(h)] += d.reshape(-1, n)[slot]
+        grads["O"] += of_O.reshape(-1, n)[: self.m]
+        grads["o"] += of_o.reshape(-1)[: self.m]
 
     def score(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log probability of each document: ids[start : start + length], in windows that hand on the state."""
@@ -206,13 +223,16 @@ class Net:
             for name, g in grads.items():
                 rows = np.unique(window) if name == "X" else slice(None)  # other rows have no gradient
                 own = g[rows] * scale
-                total = seen[name][rows] + own * own
+                total = own * own
+                total += seen[name][rows]
                 seen[name][rows] = total
-                self.p[name][rows] -= (rate * own / np.sqrt(total)).astype(np.float32)
+                own *= rate
+                own /= np.sqrt(total, out=total)
+                self.p[name][rows] -= own
                 g[rows] = 0
         return done
 
-    def _lanes(self, docs: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    def _lanes(self, docs: list[np.ndarray]) -> tuple[list[tuple[list[int], list[int]]], np.ndarray]:
         """The documents of each lane, in their order, with where each begins and the last ends; and the lanes' lengths, longest first."""
         heap = [(0, i) for i in range(min(BATCH, len(docs)))]
         lanes: list[list[int]] = [[] for _ in heap]
@@ -220,51 +240,66 @@ class Net:
             load, lane = heap[0]
             heapq.heapreplace(heap, (load + len(docs[i]), lane))
             lanes[lane].append(i)
-        placed = [(np.sort(own), np.cumsum([0, *(len(docs[i]) for i in sorted(own))])) for own in lanes]
+        placed = [(sorted(own), list(itertools.accumulate((len(docs[i]) for i in sorted(own)), initial=0))) for own in lanes]
         placed.sort(key=lambda own: -own[1][-1])
         return placed, np.array([starts[-1] for _, starts in placed])
 
-    def _window(self, docs: list[np.ndarray], lanes: list[tuple[np.ndarray, np.ndarray]], at: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    def _window(self, docs: list[np.ndarray], lanes: list[tuple[list[int], list[int]]], at: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """Words given and wanted at times at to at + steps (rows) in each lane. -1 pads what is wanted. Made for one window only, so a long text takes no room beside lanes that have ended."""
-        wanted = np.full((steps, len(lanes)), -1, np.int32)
-        given = np.full_like(wanted, self.m)
+        wanted = np.full((len(lanes), steps + 1), -1, np.int32)  # from the word before the window on
+        firsts = []
         for lane, (own, starts) in enumerate(lanes):
-            for j in range(int(np.searchsorted(starts, at, "right")) - 1, len(own)):
-                begin = int(starts[j])
+            row = wanted[lane]
+            for j in range(bisect.bisect_right(starts, at) - 1, len(own)):
+                begin = starts[j]
                 if begin >= at + steps:
                     break
-                low, high = max(at, begin), min(at + steps, int(starts[j + 1]))
-                doc, first = docs[own[j]], low == begin
-                wanted[low - at : high - at, lane] = doc[low - begin : high - begin]
-                given[low - at + first : high - at, lane] = doc[low - begin - 1 + first : high - begin - 1]
-                if first:
-                    given[low - at, lane] = self.m + 1
+                low = max(at - 1, begin)
+                part = docs[own[j]][low - begin : at + steps - begin]
+                row[low - at + 1 : low - at + 1 + len(part)] = part
+                if begin >= at:
+                    firsts.append((begin - at) * len(lanes) + lane)
+        given, wanted = np.ascontiguousarray(wanted[:, :-1].T), np.ascontiguousarray(wanted[:, 1:].T)
+        given[wanted < 0] = self.m
+        given.ravel()[firsts] = self.m + 1
         return given, wanted
 
     def _back(self, kept: list, d: np.ndarray, grads: Model) -> None:
-        ids, h, z, r, c, gc = (np.stack(x) for x in zip(*kept, strict=True))
-        of_c, of_z, of_r, n = (1 - z) * (1 - c * c), (h - c) * z * (1 - z), gc * r * (1 - r), HIDDEN
-        das, ut = np.empty((*d.shape[:2], 3 * n), d.dtype), np.ascontiguousarray(self.p["U"].T)
-        dgs = np.empty_like(das)
-        fresh = ids == self.m + 1
+        (steps, k, n), U = d.shape, np.ascontiguousarray(self._gates().transpose(0, 2, 1))
+        das, dgs, hs = np.empty((3, steps, k, n), d.dtype), np.empty((steps, k, n), d.dtype), np.empty_like(d)
+        flat = np.concatenate([x[0] for x in kept])
+        fresh = (flat == self.m + 1).reshape(steps, k)
         resets = fresh.any(1).tolist()
         dh = np.zeros_like(d[0])
-        for t in range(len(kept) - 1, -1, -1):
-            dh = dh + d[t]
-            da, dg = das[t], dgs[t]
-            dc = np.multiply(dh, of_c[t], out=da[:, 2 * n :])
-            np.multiply(dh, of_z[t], out=da[:, :n])
-            np.multiply(dc, of_r[t], out=da[:, n : 2 * n])
-            dg[:, : 2 * n] = da[:, : 2 * n]
-            np.multiply(dc, r[t], out=dg[:, 2 * n :])
-            dh = dh * z[t] + dg @ ut
+        for t in range(steps - 1, -1, -1):
+            _, h, z, r, c, gc = kept[t]
+            hs[t] = h
+            dh += d[t]
+            dz, dr, dc = das[:, t]
+            keep = dh * z
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= dh - keep
+            np.multiply(dc, r, out=dgs[t])
+            np.subtract(1, r, out=dr)
+            dr *= dgs[t]
+            dr *= gc
+            np.subtract(h, c, out=dz)
+            dz *= keep
+            dz *= 1 - z
+            dh = keep
+            dh += dz @ U[0]
+            dh += dr @ U[1]
+            dh += dgs[t] @ U[2]
             if resets[t]:
                 dh[fresh[t]] = 0
-        grads["U"] += h.reshape(-1, n).T @ dgs.reshape(-1, 3 * n)
-        flat = ids.ravel()
-        order = np.argsort(flat, kind="stable")
+        ht = hs.reshape(-1, n).T
+        for i, of_gate in enumerate((das[0], das[1], dgs)):
+            grads["U"][:, i * n : (i + 1) * n] += ht @ of_gate.reshape(-1, n)
+        order = np.argsort(flat.astype(number_type(self.m)), kind="stable")
         cuts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads["X"][flat[order[cuts]]] += np.add.reduceat(das.reshape(-1, 3 * n)[order], cuts, axis=0)
+        rows = np.take(das.reshape(-1, n), order[:, None] + len(flat) * np.arange(3), axis=0)
+        grads["X"][flat[order[cuts]]] += np.add.reduceat(rows.reshape(-1, 3 * n), cuts, axis=0)
 
     def dump(self) -> bytes:
         return b"".join(self.p[k].astype("<f4").tobytes() for k in sorted(self.p))
@@ -278,8 +313,43 @@ class Net:
 
 
 def _tokens(t: kernels.Texts) -> tuple[np.ndarray, np.ndarray]:
-    w = kernels.words(t)
-    return kernels.Hashes(t.data, lower=True).of(w.starts, w.ends).view(np.int64), w.first
+    """Hashes of all words, and where those of each text begin. Made from SLICE bytes of text at once, whatever t holds, so that what a kernel needs stays in the cache."""
+    hashes, first, low, n = [], [np.zeros(1, np.int64)], 0, len(t.starts) - 1
+    while low < n:
+        begin = t.starts[low]
+        high = max(low + 1, int(np.searchsorted(t.starts, begin + kernels.SLICE, "right")) - 1)
+        data = t.data[begin : t.starts[high]]
+        w = kernels.words(kernels.Texts(low, high, data, t.starts[low : high + 1] - begin))
+        hashes.append(kernels.Hashes(data, lower=True).of(w.starts, w.ends))
+        first.append(w.first[1:] + first[-1][-1])
+        low = high
+    return np.concatenate(hashes).view(np.int64), np.concatenate(first)
+
+
+class Numbers:
+    """Numbers of the tokens given, in their order, and len(tokens) for all others. As tokens are hashes, a few share their first bits, by which they are found."""
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        self.other, self.shift = len(tokens), np.uint64(63 - len(tokens).bit_length())
+        order = np.argsort(tokens.view(np.uint64), kind="stable")
+        self.tokens, self.number = np.append(tokens[order], np.int64(0)), np.append(order, self.other)
+        heads = tokens[order].view(np.uint64) >> self.shift
+        self.first = np.searchsorted(heads, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        head = (tokens.view(np.uint64) >> self.shift).view(np.int64)
+        at = self.first[head]
+        found = self.tokens[at] == tokens
+        out = np.where(found, self.number[at], self.other)
+        left = np.flatnonzero(~found)
+        at, end = at[left] + 1, self.first[head[left] + 1]
+        while len(left):
+            going = at < end
+            left, at, end = left[going], at[going], end[going]
+            found = self.tokens[at] == tokens[left]
+            out[left[found]] = self.number[at[found]]
+            left, at, end = left[~found], at[~found] + 1, end[~found]
+        return out
 
 
 def gather(docs: DataFrame) -> DataFrame:
@@ -308,13 +378,12 @@ def gather(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, words: np.ndarray) -> DataFrame:
     """Of training documents: (turn, size, ids), all words of each and its end as the numbers that the network reads, in two bytes each (four for larger vocabularies)."""
-    order = np.argsort(words)
-    shared = docs.sparkSession.sparkContext.broadcast((words[order], order))
-    m, kind = len(words), number_type(len(words))
+    shared = docs.sparkSession.sparkContext.broadcast(Numbers(words))
+    kind = number_type(len(words))
 
     def run(batches):
-        sorted_words, number = shared.value
-        end = int(_numbers(sorted_words, number, np.array([END]), m)[0])
+        numbers = shared.value
+        end = int(numbers.of(np.array([END]))[0])
         for batch in batches:
             turns, column = batch.columns
             for t in kernels.slices(column):
@@ -324,7 +393,7 @@ def encode(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 flat = np.full(len(hashes) + len(lengths), end, kind)
                 inner = np.ones(len(flat), bool)
                 inner[ends - 1] = False
-                flat[inner] = _numbers(sorted_words, number, hashes, m)
+                flat[inner] = numbers.of(hashes)
                 data, at = flat.tobytes(), [0, *(ends * kind.itemsize).tolist()]
                 ids = pa.array([data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([turns.slice(t.low, t.high - t.low), pa.array(lengths, pa.int64()), ids], names=["turn", "size", "ids"])
@@ -355,13 +424,6 @@ def commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order]
 
 
-def _numbers(sorted_tokens: np.ndarray, number: np.ndarray, tokens: np.ndarray, other: int) -> np.ndarray:
-    if not len(sorted_tokens):
-        return np.full(len(tokens), other)
-    i = np.minimum(np.searchsorted(sorted_tokens, tokens), len(sorted_tokens) - 1)
-    return np.where(sorted_tokens[i] == tokens, number[i], other)
-
-
 def train(encoded: DataFrame, net: Net) -> int:
     """Train net's weights on all tokens of encoded documents (turn, size, ids). Returns the number of tokens learnt from."""
     m, kind = net.m, number_type(net.m)
@@ -411,13 +473,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     whole = total + 0.1 * (distinct + 1)
     net = Net(known[:m] + 0.1, rest)
     train(materialise(encode(docs, tokens[:m]), "encoded"), net)
-    order = np.argsort(tokens)
-    shared = spark.sparkContext.broadcast((net, tokens[order], order, known))
+    shared = spark.sparkContext.broadcast((net, Numbers(tokens), known))
 
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, n_tokens bigint, n_known bigint, base double, model double, others array<struct<token:bigint,n:bigint>>").fields])
 
     def run(batches):
-        model, sorted_tokens, number, n_of = shared.value
+        model, number_of, n_of = shared.value
         base_log = np.log10(np.append(n_of + 0.1, 1.0))  # an unknown word's share is joined later
         for batch in batches:
             ids, held, column = batch.columns
@@ -431,7 +492,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 inner = np.ones(len(flat), bool)
                 inner[starts + lengths - 1] = False
                 flat[inner] = hashes
-                found = _numbers(sorted_tokens, number, flat, len(n_of))
+                found = number_of.of(flat)
                 doc = np.repeat(np.arange(n_docs), lengths)
                 base = np.bincount(doc, base_log[found], minlength=n_docs) - lengths * math.log10(whole)
                 numbers = np.minimum(found, model.m)
@@ -440,10 +501,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 score += np.bincount(doc, np.where(rare, base_log[found] - math.log10(rest), 0.0), minlength=n_docs)
                 other = np.flatnonzero(found == len(n_of))
                 n_known = lengths - np.bincount(doc[other], minlength=n_docs)
-                key = np.stack([doc[other], flat[other]])
-                key, times = np.unique(key, axis=1, return_counts=True) if len(other) else (key, np.zeros(0, np.int64))
-                ends = np.searchsorted(key[0], np.arange(n_docs + 1))
-                structs = pa.StructArray.from_arrays([pa.array(key[1], pa.int64()), pa.array(times, pa.int64())], names=["token", "n"])
+                of, word = doc[other], flat[other]
+                order = np.lexsort((word, of))
+                of, word = of[order], word[order]
+                new = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(word, prepend=0) != 0))
+                times = np.diff(new, append=len(of))
+                ends = np.searchsorted(of[new], np.arange(n_docs + 1))
+                structs = pa.StructArray.from_arrays([pa.array(word[new], pa.int64()), pa.array(times, pa.int64())], names=["token", "n"])
                 others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
                 part = slice(t.low, t.high)
                 yield pa.RecordBatch.from_arrays([ids[part], held[part], pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(score), others], names=schema.names)

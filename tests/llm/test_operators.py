@@ -374,6 +374,38 @@ def test_lm_learns_beyond_the_first_words():
     assert net.score(tail, np.array([0]), np.array([len(tail)]))[0] / len(tail) > -2  # -4 by chance
 
 
+def test_lm_hashes_a_large_slice_in_pieces():
+    """Hashing holds little beside a slice, whatever its size, and gives what its texts give one by one."""
+    import tracemalloc
+
+    texts = [*(" ".join(f"Word{i * k % 9973}" for i in range(1500)) for k in range(400)), "", "x " * 300_000, ""]
+    (whole,) = lm.kernels.slices(lm.pa.array(texts), 16 << 20)
+    each = [lm._tokens(t)[0] for t in lm.kernels.slices(lm.pa.array(texts), 1)]
+    tracemalloc.start()
+    hashes, first = lm._tokens(whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(hashes, np.concatenate([x for x in each if len(x)])) and first[-1] == len(hashes)
+    assert peak < 25 * len(whole.data)
+
+
+def test_lm_numbers():
+    for tokens in ([], [2], [2, 1], [-1, 0, 5, 2**63 - 1, -(2**63)], [5 + (i << 40) for i in range(300)]):
+        asked = np.array([0, 1, 2, -1, 5, 7, 2**63 - 1, -(2**63), 5 + (299 << 40)])
+        numbers = {x: i for i, x in enumerate(tokens)}
+        assert lm.Numbers(np.array(tokens, np.int64)).of(asked).tolist() == [numbers.get(x, len(tokens)) for x in asked.tolist()]
+
+
+def test_lm_words_beyond_those_broadcast(spark, monkeypatch):
+    """Words that meet their counts in a join add the same to base_score as those broadcast."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(60))) for i in range(40)], "doc_id bigint, text string").coalesce(2)
+    want = {r.doc_id: r for r in lm.score_texts(docs).collect()}
+    monkeypatch.setattr(lm, "KNOWN", 5)
+    got = lm.score_texts(docs).collect()
+    assert len(got) == len(want) == 40
+    assert all(math.isclose(r.base_score, want[r.doc_id].base_score, rel_tol=1e-9) and (r.n_tokens, r.n_known) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known) for r in got)
+
+
 def test_html_keeps_the_rest_of_the_page():
     story = "This is the story of a man who was in the house and he had not been there for so long that they did not know him at all. "
     for page in (
