@@ -89,22 +89,24 @@ class Net:
         order = np.argsort(cls, kind="stable")
         h, ids, cls = h[order], ids[order], cls[order]
         cuts = np.searchsorted(cls, np.arange(self.classes + 1))
+        reach = np.abs(h).max(initial=0)
+        small, small_inside = (bool(np.max(np.abs(y) + reach * np.abs(Y).sum(1), initial=0) < 80) for Y, y in ((W, w), (O, o)))  # e^80 and e^-80 are numbers of single precision
         got, dh = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
         for low in range(0, len(h), ROWS):
             part = slice(low, low + ROWS)
-            got[part], b = self._choose(h[None, part], cls[None, part], W[None], w[None], None if grads is None else 1)
+            got[part], b = self._choose(h[None, part], cls[None, part], W[None], w[None], small, None if grads is None else 1)
             if grads is not None:
                 dh[part] = b[0].T @ W
                 grads["W"] += b[0] @ h[part]
                 grads["w"] += b[0].sum(1)
         if grads is not None:
-            self._inside(h[: cuts[-1]], ids[: cuts[-1]], cuts, got, dh, grads)
+            self._inside(h[: cuts[-1]], ids[: cuts[-1]], cuts, small_inside, got, dh, grads)
         else:
             for c in np.flatnonzero(np.diff(cuts)).tolist():
                 own = slice(c * CLASS, (c + 1) * CLASS)
                 for low in range(cuts[c], cuts[c + 1], ROWS):
                     part = slice(low, min(low + ROWS, cuts[c + 1]))
-                    got[part] += self._choose(h[None, part], ids[None, part] % CLASS, O[None, own], o[None, own])[0][0]
+                    got[part] += self._choose(h[None, part], ids[None, part] % CLASS, O[None, own], o[None, own], small_inside)[0][0]
         out = np.empty_like(got)
         out[order] = got
         if grads is None:
@@ -114,11 +116,12 @@ class Net:
         return out, back
 
     @staticmethod
-    def _choose(x: np.ndarray, own: np.ndarray, W: np.ndarray, w: np.ndarray, real: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities of the choices own (c, n) under softmax(W x + w) for c times n states x; with real also the loss's gradients of W x + w, none where real is 0. Choices are rows, so that largest ones and sums are taken over many states at once."""
+    def _choose(x: np.ndarray, own: np.ndarray, W: np.ndarray, w: np.ndarray, small: bool, real: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the choices own (c, n) under softmax(W x + w) for c times n states x; with real also the loss's gradients of W x + w, none where real is 0. Choices are rows, so that largest ones and sums are taken over many states at once. If W x + w is small, its powers are taken as they are."""
         b = W @ x.transpose(0, 2, 1)
         b += w[:, :, None]
-        b -= b.max(1, keepdims=True)
+        if not small:
+            b -= b.max(1, keepdims=True)
         (c, k, n), flat = b.shape, b.reshape(-1)
         at = (np.arange(c)[:, None] * k + own) * n + np.arange(n)
         hit = flat[at]
@@ -129,7 +132,7 @@ class Net:
             flat[at] -= real
         return hit - np.log(s), b
 
-    def _inside(self, h: np.ndarray, ids: np.ndarray, cuts: np.ndarray, out: np.ndarray, dh: np.ndarray, grads: Model) -> None:
+    def _inside(self, h: np.ndarray, ids: np.ndarray, cuts: np.ndarray, small: bool, out: np.ndarray, dh: np.ndarray, grads: Model) -> None:
         """Words inside their classes, with gradients. A training window has few words of a class, so the words, by class in order, are cut into chunks of at most CHUNK words of one class, and ROWS words are computed together."""
         if not len(h):
             return
@@ -139,6 +142,7 @@ class Net:
         slot = np.arange(len(h)) + np.repeat((np.cumsum(chunks) - chunks) * CHUNK - cuts[:-1], counts)
         high, n = self.classes * CLASS, h.shape[1]
         O, o = self.p["O"], self.p["o"]  # noqa: E741
+        small &= high == self.m
         if high > self.m:
             O, o = np.concatenate([O, np.zeros((high - self.m, n), O.dtype)]), np.append(o, np.full(high - self.m, -np.inf, o.dtype))  # noqa: E741
         O, o = O.reshape(-1, CLASS, n), o.reshape(-1, CLASS)  # noqa: E741
@@ -151,7 +155,7 @@ class Net:
             part = slice(low, low + ROWS // CHUNK)
             of = of_chunk[part]
             weights = O[of]
-            logs[part], b = self._choose(x[part], own[part], weights, o[of], real[part])
+            logs[part], b = self._choose(x[part], own[part], weights, o[of], small, real[part])
             d[part] = b.transpose(0, 2, 1) @ weights
             first = np.flatnonzero(np.diff(of, prepend=-1))
             of_O[of[first]] += np.add.reduceat(b @ x[part], first)

@@ -374,6 +374,18 @@ def test_lm_learns_beyond_the_first_words():
     assert net.score(tail, np.array([0]), np.array([len(tail)]))[0] / len(tail) > -2  # -4 by chance
 
 
+def test_lm_with_large_weights():
+    """Probabilities stay finite and add up to one, and gradients finite, where powers of the weights would overflow."""
+    rng = np.random.default_rng(2)
+    for m in (100, 128):
+        net = lm.Net(np.arange(m, 0, -1) + 0.1, 50.0)
+        net.p = {k: x + rng.normal(0, 100, x.shape).astype(np.float32) for k, x in net.p.items()}
+        h, grads = np.tanh(rng.normal(size=(1, lm.HIDDEN))).astype(np.float32), {k: np.zeros_like(x) for k, x in net.p.items()}
+        for got, dh in (net.output(np.repeat(h, m + 1, 0), np.arange(m + 1)), net.output(np.repeat(h, m + 1, 0), np.arange(m + 1), grads)):
+            assert np.isfinite(got).all() and math.isclose(np.exp(got.astype(float)).sum(), 1, rel_tol=1e-3)
+        assert np.isfinite(dh).all() and all(np.isfinite(x).all() for x in grads.values())
+
+
 def test_lm_hashes_a_large_slice_in_pieces():
     """Hashing holds little beside a slice, whatever its size, and gives what its texts give one by one."""
     import tracemalloc
