@@ -157,3 +157,22 @@ def test_vectors_never_meet_by_slice_alone(spark, cells, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in text and not re.findall(r"(?:SortMerge|ShuffledHash)Join \[year#\d+\w*\]", text)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k][1], rel=1e-9) for k in want)
+
+
+def test_what_is_written_goes_by_actors(spark, cells, monkeypatch):
+    """Tables that are written hold vectors of slices and actors, and none of members; sums handed on an actor at a time are the same."""
+    want, sizes, keep = boot(cells[1], times=20), {}, estimate.once
+
+    def once(df, name):
+        out = keep(df, name)
+        if "data" in out.columns:
+            sizes[name] = out.agg(F.sum(F.length("data"))).first()[0] / (8 * 20)
+        return out
+
+    monkeypatch.setattr(estimate, "once", once)
+    monkeypatch.setattr(replicates, "MEMBERS", 4)
+    monkeypatch.setattr(replicates, "HELD", 1, raising=False)
+    got = boot(cells[1], times=20)
+    actors = len(want)
+    assert sizes == {"replicates": 2 * 6 + 4 * actors, "estimates": 2 * actors}
+    assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1], rel=1e-9) for k in want)
