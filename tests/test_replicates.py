@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -176,3 +177,14 @@ def test_what_is_written_goes_by_actors(spark, cells, monkeypatch):
     actors = len(want)
     assert sizes == {"replicates": 2 * 6 + 4 * actors, "estimates": 2 * actors}
     assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1], rel=1e-9) for k in want)
+
+
+def test_members_over_several_batches():
+    """A member's rows may lie in several batches, and nulls are a key's value like others."""
+    rows = [(p, k, float(i)) for i, (p, k) in enumerate([(0, None)] * 2 + [(0, "a")] * 7 + [(0, "b")] + [(1, "b")] * 3)]
+    table = pa.table({"_part": [r[0] for r in rows], "k": [r[1] for r in rows], **{c: [r[2] for r in rows] for c in replicates.STATS}})
+    for size in (1, 3, 100):
+        got = list(replicates.members_of(iter(table.to_batches(size)), ["_part"], ["k"], ["w"]))
+        assert [(at, own, first, len(x)) for at, own, first, x in got] == [((0,), (None,), (0.0,), 2), ((0,), ("a",), (2.0,), 7), ((0,), ("b",), (9.0,), 1), ((1,), ("b",), (10.0,), 3)]
+        assert [x for g in got for x in g[3][:, 0]] == [r[2] for r in rows]
+    assert list(replicates.members_of(iter([]), ["_part"], ["k"], ["w"])) == []
